@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
 LIMIT = 4096
-CACHE_WORDS, CACHE_STATES, LONG_WORD = 300_000, 100_000, 64
+CACHE_WORDS, CACHE_STATES, LONG_WORD = 400_000, 250_000, 64
+STOPS = frozenset(".,;:!?")
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -39,11 +40,16 @@ class Transducer:
         self.starts = {p[:i] for p in pieces for i in range(1, len(p))}
         self.single = {c for p in pieces if len(p) > 1 for c in p}
         self.root = (("", None, 0),)
+        self.whole: dict[str, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was compiled, which is compiled again as it is needed."""
         self.ids: dict[tuple, int] = {self.root: 0}
         self.states: list[tuple] = [self.root]
-        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
+        self.steps: list[dict[str, tuple[int, int]]] = [{}]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, int] = {}
+        self.words: dict[str, tuple[int, int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging, best score and then leftmost first."""
@@ -65,12 +71,20 @@ class Transducer:
             self.pairs[a, b] = self.merged(a + b) == [a, b]
         return self.pairs[a, b]
 
+    def complete(self, p: str) -> bool:
+        """Whether merging its characters gives the piece."""
+        if len(p) == 1:
+            return True
+        if p not in self.whole:
+            self.whole[p] = self.merged(p) == [p]
+        return self.whole[p]
+
     def compile(self, state: int, c: str) -> tuple[int, int] | None:
         """Next state and tokens gained; None where no or more than one token agrees (runs of equal scores)."""
         found, live = [], []
         for start, before, count in self.states[state]:
             p = start + c
-            if (p in self.score or len(p) == 1) and (before is None or self.agree(before, p)) and (len(p) == 1 or self.merged(p) == [p]):
+            if (p in self.score or len(p) == 1) and self.complete(p) and self.agree(before, p):
                 found.append((p, count + self.weight(p)))
             if p in self.starts:
                 live.append((p, before, count))
@@ -81,32 +95,38 @@ class Transducer:
         if after not in self.ids:
             self.ids[after] = len(self.states)
             self.states.append(after)
+            self.steps.append({})
         return self.ids[after], gain
 
-    def run(self, word: str) -> int:
-        """Tokens of the text between two synchronised places."""
-        state = total = 0
+    def run(self, word: str, state: int = 0, total: int = 0) -> tuple[int, int]:
+        """The state behind the word and its tokens, from a state and tokens before; state -1 where no transition is known."""
+        steps = self.steps
         for c in word:
-            key = (state, c)
-            if key not in self.steps:
+            step = steps[state].get(c)
+            if step is None:
                 step = self.compile(state, c)
                 if step is None:
-                    return sum(map(self.weight, self.merged(word)))
-                self.steps[key] = step
-            state, gain = self.steps[key]
+                    return -1, 0
+                steps[state][c] = step
+            state, gain = step
             total += gain
-        return total
+        return state, total
 
     def word(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            n = self.run(word)
-            if len(word) <= LONG_WORD:
+        """Tokens of the text between two synchronised places; the path of its stem is kept as one transition."""
+        stem, end = (word[:-1], word[-1]) if word[-1:] in STOPS else (word, "")
+        found = self.words.get(stem)
+        if found is None:
+            found = self.run(stem)
+            if len(stem) <= LONG_WORD:
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
-                self.words[word] = n
-            if len(self.states) > CACHE_STATES:  # compiled again as they are needed
-                self.ids, self.states, self.steps, self.pairs = {self.root: 0}, [self.root], {}, {}
+                self.words[stem] = found
+        if end and found[0] >= 0:
+            found = self.run(end, *found)
+        n = found[1] if found[0] >= 0 else sum(map(self.weight, self.merged(word)))
+        if len(self.states) > CACHE_STATES:
+            self.forget()
         return n
 
     def line(self, text: str) -> int:
