@@ -1,10 +1,10 @@
-"""Stateful functions of ordered traces as window expressions."""
+"""Stateful functions of ordered traces: window expressions where the state allows it, folds over arrays where it doesn't."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,55 @@ class Order:
         return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def persisted(value: Column, order: Order, initial) -> Column:
+    """A sparse input: keeps its last given value."""
+    return F.coalesce(F.last(value, ignorenulls=True).over(order.running), F.lit(initial))
+
+
 def latch(on: Column, off: Column, order: Order, reset_dominant: bool = False) -> Column:
     """On from a scan with ``on`` until one with ``off``; holds in between, and is off at first."""
     pick = F.when(off, False).when(on, True) if reset_dominant else F.when(on, True).when(off, False)
-    return F.coalesce(F.last(pick, ignorenulls=True).over(order.running), F.lit(False))
+    return persisted(pick, order, False)
+
+
+def rising(signal: Column, order: Order) -> Column:
+    return signal & ~F.lag(signal, 1, False).over(order.window)
+
+
+def next_scan(signal: Column, order: Order) -> Column:
+    """The signal at the next scan; null at the last one, where an obligation on it holds vacuously."""
+    return F.lead(signal).over(order.window)
+
+
+def with_on_delay(df: DataFrame, signal: str, preset: int, order: Order, prefix: str = "", delayed: bool = False) -> DataFrame:
+    """df with the timer's elapsed scans (et) and output (q); delayed: the output looks at the time before this scan's is added."""
+    off_runs = F.sum(F.when(F.col(signal), 0).otherwise(1)).over(order.running)
+    run = Window.partitionBy(order.key, "__run").orderBy(*order.by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    et = F.least(F.lit(preset), F.sum(F.col(signal).cast("int")).over(run)).cast("int")
+    out = df.withColumn("__run", off_runs).withColumn(prefix + "et", et).drop("__run")
+    seen = F.lag(prefix + "et", 1, 0).over(order.window) if delayed else F.col(prefix + "et")
+    return out.withColumn(prefix + "q", F.col(signal) & (seen >= preset))
+
+
+def with_edge_counter(df: DataFrame, pulse: Column, reset: Column, cap: int, order: Order, name: str = "count") -> DataFrame:
+    """df with a count of rising edges that saturates at cap; reset wins, and the edge on a reset scan is consumed."""
+    marked = df.withColumn("__edge", rising(pulse, order) & ~reset).withColumn("__island", F.sum(reset.cast("int")).over(order.running))
+    island = Window.partitionBy(order.key, "__island").orderBy(*order.by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marked.withColumn(name, F.least(F.lit(cap), F.sum(F.col("__edge").cast("int")).over(island)).cast("int")).drop("__edge", "__island")
+
+
+def scans_of(df: DataFrame, order: Order, *columns: str) -> DataFrame:
+    """One row per trace with its scans as an ordered array: for folds over traces that fit a row."""
+    packed = F.array_sort(F.collect_list(F.struct(*order.by, *columns)))
+    return df.groupBy(order.key).agg(packed.alias("scans"))
+
+
+def up_down_counts(scans: Column, up, down, cap: int) -> Column:
+    """Counts after each scan, clamped to 0..cap on either side; a fold, as clamping twice is no window aggregate."""
+
+    def step(state, scan):
+        n = F.greatest(F.lit(0), F.least(F.lit(cap), state["n"] + up(scan).cast("int") - down(scan).cast("int")))
+        return F.struct(n.alias("n"), F.concat(state["out"], F.array(n)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(scans, start, step)["out"]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from traceloom.plans import traces
+from traceloom.plans import traces, verdicts
 
-MODULES = (traces,)
+MODULES = (traces, verdicts)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
