@@ -173,7 +173,10 @@ def grouped(batches):
         yield files, rows, texts, extra
 
 
-SENT = "bucket int, `group` long, value binary, check binary, place binary, many binary, begins binary, files array<string>, rows array<long>"
+SENT = "bucket long, `group` long, value binary, check binary, place binary, many binary, begins binary, files array<string>, rows array<long>"
+
+
+BACK = ["group", "value", "place", "begins", "files", "rows"]
 
 
 def to_send(group: int, buckets: int, begins, files, rows, value, check, place):
@@ -185,7 +188,7 @@ def to_send(group: int, buckets: int, begins, files, rows, value, check, place):
     many = np.diff(np.append(head, len(value))) > 1
     known = np.repeat(many, np.diff(np.append(head, len(value)))) if len(value) else new
     empty = b""
-    out = [(-1, group, value[known].tobytes(), empty, place[known].astype(np.uint32).tobytes(), empty, begins.astype(np.uint32).tobytes(), files, rows)]
+    out = [(-1 - group, group, value[known].tobytes(), empty, place[known].astype(np.uint32).tobytes(), empty, begins.astype(np.uint32).tobytes(), files, rows)]
     value, check, place = value[head], check[head], place[head]
     to = (mixed(value) % U(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -194,13 +197,18 @@ def to_send(group: int, buckets: int, begins, files, rows, value, check, place):
         i = order[cuts[b] : cuts[b + 1]]
         if len(i):
             out.append((b, group, value[i].tobytes(), check[i].tobytes(), place[i].astype(np.uint32).tobytes(), np.packbits(many[i]).tobytes(), None, None, None))
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
     names = ["bucket", "group", "value", "check", "place", "many", "begins", "files", "rows"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """A bucket's values that several groups have or one has many times, sent back to the groups that have them once."""
+    """A bucket's values that several groups have or one has many times, sent back to the groups that have them once.
+
+    What a group keeps for itself (buckets below 0) goes through as it is.
+    """
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(BACK)
     groups, values, places = table.column("group").to_pylist(), table.column("value").to_pylist(), table.column("place").to_pylist()
     size = [len(v) // 8 for v in values]
     value = np.frombuffer(b"".join(values), U)
@@ -222,7 +230,9 @@ def answer(table: pa.Table) -> pa.Table:
         if keep.any():
             out.append((groups[i], value[a:b][keep].tobytes(), np.frombuffer(places[i], np.uint32)[keep].tobytes()))
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
-    return pa.table({"group": pa.array(cols[0], pa.int64()), "value": pa.array(cols[1], pa.binary()), "place": pa.array(cols[2], pa.binary())})
+    n = len(cols[0])
+    own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())]
+    return pa.table([*own, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=BACK)
 
 
 def by_text(with_value: bool):
@@ -251,10 +261,8 @@ def by_text(with_value: bool):
 
 def repeated(sent: DataFrame, with_value: bool) -> DataFrame:
     """(file, row, extra) of the texts that have values which occur more than once in all that was sent."""
-    answers = sent.filter("bucket >= 0").select("bucket", "group", "value", "check", "place", "many").groupBy("bucket").applyInArrow(answer, "`group` long, value binary, place binary")
-    nothing = answers.select("group", "value", "place", F.lit(None).cast("binary").alias("begins"), F.lit(None).cast("array<string>").alias("files"), F.lit(None).cast("array<long>").alias("rows"))
-    own = sent.filter("bucket < 0").select("group", "value", "place", "begins", "files", "rows")
-    return own.unionByName(nothing).groupBy("group").applyInArrow(by_text(with_value), f"{FILE} string, {ROW} long, extra binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "`group` long, value binary, place binary, begins binary, files array<string>, rows array<long>")
+    return answers.groupBy("group").applyInArrow(by_text(with_value), f"{FILE} string, {ROW} long, extra binary")
 
 
 def send_names(docs: DataFrame, buckets: int) -> DataFrame:
@@ -319,11 +327,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = located(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), FILE, ROW)
     # As many buckets as there are input splits or shuffle partitions, so a bucket doesn't grow with the table.
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    names = stored(repeated(stored(send_names(rows.select(FILE, ROW, "text"), buckets), "repeat-names"), with_value=True), "repeat-shared")
-    # Both joins below have the same rows on their left, dealt the same way, so Spark moves the texts once.
+    names = stored(repeated(send_names(rows.select(FILE, ROW, "text"), buckets), with_value=True), "repeat-shared")
+    # Both joins have the same rows on their left, dealt the same way, so Spark moves the texts once and reads them twice.
     marked = rows.join(names, [FILE, ROW], "left")
-    sent = stored(send_windows(marked.select(FILE, ROW, "text", "extra"), buckets), "repeat-windows")
-    found = repeated(sent, with_value=False)
+    found = repeated(send_windows(marked.select("doc_id", "text", FILE, ROW, "extra"), buckets), with_value=False)
     return cut(rows.join(found, [FILE, ROW], "left"), dict(docs.dtypes)[id_col], with_text)
 
 
