@@ -1,6 +1,7 @@
 """Every query against its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: "None" if v is None or v != v else str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: "None" if pd.isna(v) else str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(plain(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from traceloom.plans import traces, verdicts
+from traceloom.plans import invariants, programs, sets, traces, verdicts
 
-MODULES = (traces, verdicts)
+MODULES = (traces, verdicts, invariants, programs, sets)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
