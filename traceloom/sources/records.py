@@ -21,7 +21,7 @@ def tasks(spark: SparkSession, root: str) -> DataFrame:
     meta = nested("meta.json").option("multiLine", True).schema(TASK).json(root).withColumn("folder", folder)
     meta = meta.withColumn("reference_st_file", F.coalesce("reference_st_file", F.lit("reference.st")))
     severe = F.transform("safety_properties", lambda p: p.withField("severity", F.coalesce(p["severity"], F.lit("high"))))
-    text = nested("*.st").option("wholetext", True).text(root).select(folder.alias("folder"), name.alias("reference_st_file"), F.col("value").alias("reference"))
+    text = nested("*.st").text(root, wholetext=True).select(folder.alias("folder"), name.alias("reference_st_file"), F.col("value").alias("reference"))
     return meta.withColumn("safety_properties", severe).join(text, ["folder", "reference_st_file"], "left").orderBy("folder")
 
 
