@@ -77,6 +77,19 @@ def test_lexicon_ignores_copied_passages():
     assert toxicity.weigh("villain7", lexicon) > 0 and toxicity.weigh("alpha", lexicon) == 0 and toxicity.weigh("passage", lexicon) == 0
 
 
+def test_word_marks_forget_without_changing_features():
+    lexicon = {"villain": 5.0, "rott*": 4.0}
+    texts = ["You VILLAIN, you r.o.t.t.e.n v1llain!", "rotten -- viiillain", "", "a b c d", "(rotten) \u0130 you're", "v i l l a i n you"]
+    wide, narrow = toxicity.WordMarks(lexicon), toxicity.WordMarks(lexicon, most=1)
+    for t in texts:
+        assert toxicity.features(t, wide, 5.0) == toxicity.features(t, narrow, 5.0)
+        for w in t.split():
+            low = toxicity.plain(w)
+            odd = bool(toxicity.MIXED.search(w) or toxicity.REPEATED.search(w))
+            assert wide[w][1:4] == (toxicity.weigh(low, lexicon), low in toxicity.SECOND_PERSON, odd)
+    assert len(narrow) == 1
+
+
 def test_exact_dedup(spark, awkward, empty):
     rows = exact_dedup.exact_dedup(awkward).collect()
     assert len(rows) == len(TEXTS) and exact_dedup.exact_dedup(empty).count() == 0

@@ -39,6 +39,8 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 MIXED = re.compile(r"[^\W\d_][\d@$!|*]+[^\W\d_]")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .\-*_]){3,}[^\W\d_]\b")
+#: What every match of SPACED has in it, quicker to look for.
+SPACED_HINT = re.compile(r"[ .\-*_].[ .\-*_].[ .\-*_]", re.S)
 FEATURES = [
     "lexicon", "strong", "lexicon_any", "strong_any", "distinct", "weight", "near_you", "near_each", "you", "upper", "shouts", "marks",
     "mixed", "repeated", "spaced", "hidden", "length",
@@ -104,31 +106,63 @@ def learn_lexicon(rows: list[tuple[str, int]], most: int = 400) -> dict[str, flo
     return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
-def features(text: str, lexicon: dict[str, float], strong: float) -> list[float]:
+UNMARKED = (None, 0.0, False, False, False, False)
+
+
+class WordMarks(dict):
+    """What a word is, worked out once: (lexicon word or None, its weight, second person, odd, letters repeated, hidden lexicon word).
+
+    Forgets everything when it holds ``most`` words, so that its memory is bounded.
+    """
+
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, word: str) -> tuple:
+        low = word.lower()
+        core = low.strip(".,;:!?()'\"-")
+        simple = core.isalpha()  # then no sign is left to strip, and none stands between letters
+        low = core if simple else EDGE.sub("", low)
+        weight, repeated = weigh(low, self.lexicon), bool(REPEATED.search(word))
+        odd = repeated or (not simple and bool(MIXED.search(word)))
+        second = low in SECOND_PERSON
+        out = UNMARKED
+        if weight or odd or second:
+            hidden = odd and not weight and weigh(unmasked(word), self.lexicon) > 0
+            out = (low if weight else None, weight, second, odd, repeated, hidden)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out
+        return out
+
+
+def features(text: str, marks: WordMarks, strong: float) -> list[float]:
     words = text.split()
     n = max(1, len(words))
-    low = [plain(w) for w in words]
-    weights = [weigh(w, lexicon) for w in low]
-    hits = [i for i, w in enumerate(weights) if w]
-    hard = [i for i in hits if weights[i] >= strong]
-    you = [i for i, w in enumerate(low) if w in SECOND_PERSON]
+    counts = Counter(words)
+    own = {w: m for w in counts if (m := marks[w]) is not UNMARKED}
+    found = {w: m[0] for w, m in own.items() if m[0]}
     near_you = near_each = 0
-    if hits and you:
-        at = np.asarray(you)
-        k = np.searchsorted(at, hits)
-        near_you = int(sum(min(abs(at[max(0, j - 1)] - i), abs(at[min(len(at) - 1, j)] - i)) <= NEAR for i, j in zip(hits, k, strict=True)))
-    if len(hits) > 1:
+    if found:
+        hits = np.array([i for i, w in enumerate(words) if w in found])
         near_each = int((np.diff(hits) <= 3 * NEAR).sum())
-    odd = [w for w in words if MIXED.search(w) or REPEATED.search(w)] if MIXED.search(text) or REPEATED.search(text) else []
-    hidden = sum(weigh(unmasked(w), lexicon) > 0 and not weigh(plain(w), lexicon) for w in odd)
-    spaced = SPACED.findall(text)
-    hidden += sum(weigh(unmasked(m.group()), lexicon) > 0 for m in SPACED.finditer(text)) if spaced else 0
+        second = {w for w, m in own.items() if m[2]}
+        if second:
+            you = np.array([i for i, w in enumerate(words) if w in second])
+            after = np.searchsorted(you, hits)
+            gap = np.minimum(np.abs(you[np.maximum(after - 1, 0)] - hits), np.abs(you[np.minimum(after, len(you) - 1)] - hits))
+            near_you = int((gap <= NEAR).sum())
+    weights = {m[0]: m[1] for m in own.values() if m[0]}
+    total = lambda k: sum(counts[w] for w, m in own.items() if m[k])
+    n_hits, n_hard = sum(counts[w] for w in found), sum(counts[w] for w in found if own[w][1] >= strong)
+    spaced = SPACED.findall(text) if SPACED_HINT.search(text) else []
+    hidden = total(5) + sum(weigh(unmasked(m), marks.lexicon) > 0 for m in spaced)
     chars = max(1, len(text))
     return [
-        len(hits) / n, len(hard) / n, float(len(hits)), float(len(hard)), float(len({low[i] for i in hits})),
-        sum({low[i]: weights[i] for i in hits}.values()), near_you / n, near_each / n, len(you) / n,
-        sum(map(str.isupper, words)) / n, text.count("!") / chars, sum(map(text.count, "?*#$%&@")) / chars,
-        len(odd) / n, sum(bool(REPEATED.search(w)) for w in odd) / n, len(spaced) / n, float(hidden), math.log1p(n),
+        n_hits / n, n_hard / n, float(n_hits), float(n_hard), float(len(weights)),
+        sum(weights.values()), near_you / n, near_each / n, total(2) / n,
+        sum(c for w, c in counts.items() if w.isupper()) / n, text.count("!") / chars, sum(map(text.count, "?*#$%&@")) / chars,
+        total(3) / n, total(4) / n, len(spaced) / n, float(hidden), math.log1p(n),
     ]
 
 
@@ -139,8 +173,10 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, order[len(order) // 4] if order else math.inf))
 
     def run(batches):
+        lexicon, strong = shared.value
+        marks = WordMarks(lexicon)
         for batch in batches:
-            rows = [features(t.as_py() or "", *shared.value) for t in batch.column(text_col)]
+            rows = [features(t.as_py() or "", marks, strong) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, pa.list_(pa.float64()))], names=[*others, "x"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text_col)
