@@ -9,6 +9,8 @@ from traceloom.functions.metrics import pass_at_k, rate, reward
 from traceloom.sources.tables import table
 
 KS = (1, 3, 5, 10)
+#: The order of a supplier's lines.
+ARRIVAL = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax")
 
 
 def trials(spark, sf_dir):
@@ -128,13 +130,36 @@ def verdict_leave_one_out(spark, sf_dir):
 
 
 def verdict_best_of_k(spark, sf_dir):
-    """Calls until the first success in order of seed, else all; by tier."""
+    """Calls until the first success in order of seed, failures first, else all; by tier. Kept with its SQL; verdict_best_of_k_in_order doesn't look at the outcome."""
     w = Window.partitionBy("task").orderBy("seed", "valid")
     tried = line_trials(spark, sf_dir).select("task", "tier", "valid", F.row_number().over(w).alias("i")).filter("i <= 10")
     per = tried.groupBy("task", "tier").agg(F.min(F.when(F.col("valid"), F.col("i"))).alias("first"), F.count("*").alias("k"))
     return per.groupBy("tier").agg(F.round(F.avg(F.col("first").isNotNull().cast("int")), 9).alias("success"), F.sum(F.coalesce("first", "k").cast("long")).alias("calls"))
 
 
+def in_order(spark, sf_dir):
+    """Order lines as trials of suppliers, in an order that doesn't look at the outcome; order and line alone don't tell all lines apart."""
+    lines = table(spark, sf_dir, "lineitem")
+    places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    valid = (F.col("l_returnflag") != "R") & (F.col("l_linestatus") == "F") & (F.col("l_discount") <= 0.05)
+    w = Window.partitionBy("task").orderBy(*ARRIVAL)
+    rows = lines.join(places.select("s_suppkey", "r_name"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_suppkey").alias("task"), F.col("r_name").alias("tier"), valid.alias("valid"), *ARRIVAL)
+    return rows.select("task", "tier", "valid", F.row_number().over(w).alias("i"))
+
+
+def best_of(tried, k: int):
+    """Of trials with task, tier, valid and their place i from 1: calls until the first success among k, else all; by tier."""
+    per = tried.filter(F.col("i") <= k).groupBy("task", "tier").agg(F.min(F.when(F.col("valid"), F.col("i"))).alias("first"), F.count("*").alias("k"))
+    return per.groupBy("tier").agg(
+        F.count("*").alias("tasks"), F.round(F.avg(F.col("first").isNotNull().cast("int")), 9).alias("success"), F.sum(F.coalesce("first", "k").cast("long")).alias("calls"), F.round(F.avg(F.coalesce("first", "k")), 9).alias("mean_calls")
+    )
+
+
+def verdict_best_of_k_in_order(spark, sf_dir):
+    """Best of ten with the trials in the order in which they came."""
+    return best_of(in_order(spark, sf_dir), 10)
+
+
 def verdict_inflation(spark, sf_dir):
     """How far a laxer metric lies above a stricter one; the ratio is null without a stricter success."""
     per = line_trials(spark, sf_dir).groupBy("tier").agg(F.avg(F.col("invariant").cast("int")).alias("lax"), F.avg(F.col("valid").cast("int")).alias("strict"))
@@ -239,6 +264,11 @@ ORACLE_SQL = {
     "verdict_best_of_k": f"""WITH {L}, o AS (SELECT task, tier, valid, row_number() OVER (PARTITION BY task ORDER BY seed, valid) AS i FROM t),
         p AS (SELECT task, tier, min(i) FILTER (valid) AS f, count(*) AS k FROM o WHERE i <= 10 GROUP BY 1, 2)
         SELECT tier, round(avg(CAST(f IS NOT NULL AS INTEGER)), 9) AS success, CAST(sum(coalesce(f, k)) AS BIGINT) AS calls FROM p GROUP BY 1""",
+    "verdict_best_of_k_in_order": f"""WITH o AS (SELECT l_suppkey AS task, r_name AS tier, l_returnflag <> 'R' AND l_linestatus = 'F' AND l_discount <= CAST(0.05 AS DOUBLE) AS valid,
+            row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ARRIVAL)}) AS i
+            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+        p AS (SELECT task, tier, coalesce(min(i) FILTER (valid), least(count(*), 10)) AS calls, coalesce(bool_or(valid), false) AS won FROM o WHERE i <= 10 GROUP BY 1, 2)
+        SELECT tier, count(*) AS tasks, round(avg(CAST(won AS INTEGER)), 9) AS success, CAST(sum(calls) AS BIGINT) AS calls, round(avg(calls), 9) AS mean_calls FROM p GROUP BY 1""",
     "verdict_inflation": f"""WITH {L}, a AS (SELECT tier, avg(CAST(invariant AS INTEGER)) AS lax, avg(CAST(valid AS INTEGER)) AS strict FROM t GROUP BY 1)
         SELECT tier, round(lax - strict, 9) AS difference, round(lax / nullif(strict, 0), 9) AS ratio FROM a""",
     "verdict_quantifiers": f'WITH {L} SELECT task, bool_and(compiles) AS every, bool_or(valid) AS "some", count(DISTINCT seed) AS n_seeds FROM t GROUP BY 1',
