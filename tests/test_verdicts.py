@@ -1,5 +1,7 @@
 """Verdict queries against hand-written results and brute force."""
 
+import random
+
 from traceloom.plans import verdicts as V
 
 
@@ -12,3 +14,22 @@ def test_best_of_k_sees_successes(spark, sf_dir):
     got = V.verdict_best_of_k_in_order(spark, sf_dir).collect()
     assert sum(r.tasks for r in got) == len(first) and round(sum(r.success * r.tasks for r in got)) == sum(v is not None for v in first.values()) > 0
     assert sum(r.calls for r in got) == sum(v or 10 for v in first.values()) < 10 * len(first)
+
+
+def test_bootstrap_draws_like_resampling(spark, sf_dir):
+    size, rounds, rng = 80, 2000, random.Random(1)
+    values = [rng.random() for _ in range(size)]
+    per = spark.createDataFrame([(i, size, v) for i, v in enumerate(values)], "at long, size long, v double")
+    by = {}
+    for r in V.hashed_draws(per, rounds).collect():
+        by.setdefault(r.b, []).append((r["at"], r.v))
+    assert len(by) == rounds and all(len(d) == size for d in by.values())
+    distinct = sum(len(set(d)) for d in by.values()) / rounds
+    assert abs(distinct - size * (1 - (1 - 1 / size) ** size)) < 0.5
+    ours = sorted(sum(v for _, v in d) / size for d in by.values())
+    brute = sorted(sum(rng.choices(values, k=size)) / size for _ in range(rounds))
+    width = lambda m: m[rounds * 39 // 40] - m[rounds // 40]
+    assert abs(width(ours) / width(brute) - 1) < 0.1
+    got = {r.metric: r for r in V.verdict_bootstrap_resampled(spark, sf_dir).collect()}
+    old = {r.metric: r for r in V.verdict_bootstrap(spark, sf_dir).collect()}
+    assert all(got[m].high - got[m].low > 1.5 * (old[m].high - old[m].low) for m in ("valid", "invariant"))

@@ -201,13 +201,13 @@ def verdict_masked(spark, sf_dir):
 
 
 def draws(spark, rounds: int, size: int):
-    """Portable draws with replacement: the same index for all metrics of a round and place, which pairs them."""
+    """Portable draws, near permutations: the same index for all metrics of a round and place, which pairs them."""
     b, j = F.col("b"), F.col("j")
     return spark.range(rounds).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j")).select("b", F.pmod(F.pmod(b * 7919 + j * 104729 + 17, F.lit(1000003)), F.lit(size)).alias("at"))
 
 
 def verdict_bootstrap(spark, sf_dir):
-    """Percentile intervals of macro means over resampled tasks, by order statistics; draws are shared by both metrics."""
+    """The same with portable draws and few rounds, to compare engines only: the draws are too regular for statistics, see verdict_bootstrap_resampled."""
     rounds = 200
     per = counts(trials(spark, sf_dir), "task", "tier").select(F.col("c_valid") / F.col("n"), F.col("c_invariant") / F.col("n"), "task").toDF("valid", "invariant", "task")
     size = per.count()
@@ -218,6 +218,34 @@ def verdict_bootstrap(spark, sf_dir):
     return long.groupBy("metric").agg(F.round(F.avg("m"), 9).alias("mean"), F.round(F.element_at(s, int(rounds * 0.025) + 1), 9).alias("low"), F.round(F.element_at(s, min(int(rounds * 0.975) + 1, rounds)), 9).alias("high"))
 
 
+def hashed_draws(per, rounds: int):
+    """per (with at from 0 and size) drawn anew with replacement: for each round b and place, a hash of both picks a row. All columns of a row come together."""
+    word = F.md5(F.concat_ws(":", F.lit("0"), F.col("b"), F.col("at")).cast("binary"))
+    pick = F.pmod(F.conv(F.substring(word, 1, 15), 16, 10).cast("long"), F.col("size"))
+    places = per.sparkSession.range(rounds).select(F.col("id").alias("b")).crossJoin(F.broadcast(per.select("at", "size")))
+    return places.select("b", pick.alias("at")).join(F.broadcast(per.drop("size")), "at")
+
+
+def intervals(means, rounds: int, *metrics: str):
+    """Of one row per round: mean and percentile interval of each metric by order statistics, and whether it leaves out 0."""
+    s = F.array_sort(F.collect_list("m"))
+    at = lambda share: F.round(F.element_at(s, min(int(rounds * share) + 1, rounds)), 9)
+    out = means.unpivot(["b"], list(metrics), "metric", "m").groupBy("metric").agg(F.round(F.avg("m"), 9).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
+    return out.withColumn("excludes_0", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+#: Rounds of the bootstrap.
+ROUNDS = 20000
+
+
+def verdict_bootstrap_resampled(spark, sf_dir):
+    """Percentile intervals of macro means over tasks drawn with replacement; draws are shared by both metrics, which pairs them."""
+    per = counts(trials(spark, sf_dir), "task", "tier").select("task", (F.col("c_valid") / F.col("n")).alias("valid"), (F.col("c_invariant") / F.col("n")).alias("invariant"))
+    per = per.select("valid", "invariant", (F.row_number().over(Window.orderBy("task")) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("size"))
+    means = hashed_draws(per, ROUNDS).groupBy("b").agg(F.avg("valid").alias("valid"), F.avg("invariant").alias("invariant"))
+    return intervals(means.withColumn("difference", F.col("invariant") - F.col("valid")), ROUNDS, "valid", "invariant", "difference")
+
+
 T = """t AS (SELECT doc_id, lang || ':' || source AS task, lang AS tier, n_chars >= 200 AS compiles, n_chars >= 200 AND toxic = 0 AS invariant, quality = 1 AS scenario,
           n_chars >= 200 AND toxic = 0 AND quality = 1 AS valid FROM documents JOIN labels USING (doc_id))"""
 L = """t AS (SELECT l_suppkey AS task, r_name AS tier, l_linenumber AS seed, l_returnflag <> 'R' AS compiles, l_returnflag <> 'R' AND l_linestatus = 'F' AS invariant,
@@ -285,5 +313,12 @@ ORACLE_SQL = {
         u AS (SELECT b, 'valid' AS metric, valid AS m FROM m UNION ALL SELECT b, 'invariant', invariant FROM m UNION ALL SELECT b, 'difference', invariant - valid FROM m),
         o AS (SELECT metric, m, row_number() OVER (PARTITION BY metric ORDER BY m) AS i FROM u)
         SELECT metric, round(avg(m), 9) AS mean, round(max(m) FILTER (i = 6), 9) AS low, round(max(m) FILTER (i = 196), 9) AS high FROM o GROUP BY 1""",
+    "verdict_bootstrap_resampled": f"""WITH {T}, {C}, p AS (SELECT c_valid / n AS valid, c_invariant / n AS invariant, row_number() OVER (ORDER BY task) - 1 AS pos FROM c), z AS (SELECT count(*) AS size FROM p),
+        d AS (SELECT b, CAST('0x' || md5('0:' || b || ':' || j)[1:15] AS BIGINT) % size AS pos FROM z, range({ROUNDS}) x(b), LATERAL (SELECT unnest(range(size)) AS j)),
+        m AS (SELECT b, avg(valid) AS valid, avg(invariant) AS invariant FROM d JOIN p USING (pos) GROUP BY 1),
+        u AS (SELECT b, 'valid' AS metric, valid AS m FROM m UNION ALL SELECT b, 'invariant', invariant FROM m UNION ALL SELECT b, 'difference', invariant - valid FROM m),
+        o AS (SELECT metric, m, row_number() OVER (PARTITION BY metric ORDER BY m) AS i FROM u),
+        s AS (SELECT metric, round(avg(m), 9) AS mean, round(max(m) FILTER (i = {ROUNDS // 40 + 1}), 9) AS low, round(max(m) FILTER (i = {ROUNDS * 39 // 40 + 1}), 9) AS high FROM o GROUP BY 1)
+        SELECT *, low > 0 OR high < 0 AS excludes_0 FROM s""",
 }
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}
