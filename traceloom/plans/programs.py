@@ -56,7 +56,12 @@ def program_mutants(spark, sf_dir):
 
 
 def program_first_bugs(spark, sf_dir):
-    return mutation.first_bugs(frame(spark, PROGRAMS)).select("id", *(F.md5(c).alias(c) for c in ("weaken_or", "flip_compare", "force_true")))
+    """Kept with its SQL; program_bug_rules has the bug rules themselves."""
+    return mutation.first_swaps(frame(spark, PROGRAMS)).select("id", *(F.md5(c).alias(c) for c in ("weaken_or", "flip_compare", "force_true")))
+
+
+def program_bug_rules(spark, sf_dir):
+    return mutation.first_bugs(frame(spark, PROGRAMS)).select("id", "weaken_or", "flip_compare", "force_true")
 
 
 MORE = r"CAST(CAST(regexp_extract(t, '\d+') AS BIGINT) + 1 AS VARCHAR)"
@@ -86,5 +91,10 @@ ORACLE_SQL = {
     "program_first_bugs": rf"""WITH {values(PROGRAMS, 'p')} SELECT id, md5(nullif(regexp_replace(code, '\bAND\b', 'OR'), code)) AS weaken_or,
         md5(nullif(CASE WHEN contains(code, '>=') THEN regexp_replace(code, '>=', '<') ELSE regexp_replace(code, '<=', '>') END, code)) AS flip_compare,
         md5(nullif(regexp_replace(code, ':=\s*[^;]*;', ':= TRUE;'), code)) AS force_true FROM p""",
+    "program_bug_rules": rf"""WITH {values(PROGRAMS, 'p')}, c AS (SELECT id, code, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 1) AS head, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 2) AS cond FROM p),
+        d AS (SELECT *, string_split_regex(cond, '\s+OR\s+') AS parts, instr(code, '>=') AS ge, instr(code, '<=') AS le, instr(code, ':= FALSE;') AS off FROM c)
+        SELECT id, CASE WHEN len(parts) > 1 THEN head || array_to_string(parts[2:], ' OR ') || substr(code, length(head) + length(cond) + 1) END AS weaken_or,
+            CASE WHEN ge > 0 THEN left(code, ge - 1) || '>' || substr(code, ge + 2) WHEN le > 0 THEN left(code, le - 1) || '<' || substr(code, le + 2) END AS flip_compare,
+            CASE WHEN off > 0 THEN left(code, off - 1) || ':= TRUE;' || substr(code, off + 9) END AS force_true FROM d""",
 }
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}
