@@ -33,3 +33,10 @@ def test_bootstrap_draws_like_resampling(spark, sf_dir):
     got = {r.metric: r for r in V.verdict_bootstrap_resampled(spark, sf_dir).collect()}
     old = {r.metric: r for r in V.verdict_bootstrap(spark, sf_dir).collect()}
     assert all(got[m].high - got[m].low > 1.5 * (old[m].high - old[m].low) for m in ("valid", "invariant"))
+
+
+def test_leave_one_out_finds_single_failures(spark, sf_dir):
+    rows = [(1, 1, True), (1, 2, False), (2, 1, True), (2, 2, True), (2, 2, False), (3, 1, False), (3, 2, False), (4, 1, False), (5, 1, False), (5, 3, True), (6, 1, True), (6, 3, True)]
+    got = V.leave_one_out(spark.createDataFrame(rows, "sample int, scenario int, ok boolean")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3, 2, 1.0, 1.0), (2, 2, 3, 2, 1.0, 1.0), (3, 0, 3, 2, 1.0, 1.0)]
+    assert V.verdict_leave_one_out_by_order(spark, sf_dir).first().total > 0

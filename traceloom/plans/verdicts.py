@@ -122,13 +122,30 @@ def verdict_rank(spark, sf_dir):
 
 
 def verdict_leave_one_out(spark, sf_dir):
-    """Scenarios (line numbers) that alone make a task fail: leaving one out flips the verdict if it is the only failure."""
+    """Scenarios (line numbers) that alone make a supplier fail, all its lines of a number taken together. Kept with its SQL; verdict_leave_one_out_by_order takes each order as a sample."""
     per = line_trials(spark, sf_dir).groupBy("task", "seed").agg(F.bool_and(F.col("scenario") | F.col("compiles")).alias("ok"))
     fails = per.groupBy("task").agg(F.count_if(~F.col("ok")).alias("n_fail"), F.min(F.when(~F.col("ok"), F.col("seed"))).alias("seed"))
     flips = fails.filter("n_fail = 1").groupBy("seed").agg(F.count("*").alias("flips"))
     return per.select("seed").distinct().join(flips, "seed", "left").select("seed", F.coalesce("flips", F.lit(0)).alias("flips"))
 
 
+def leave_one_out(verdicts):
+    """Of verdicts (sample, scenario, ok): for each scenario, the samples that fail it alone, which leaving it out flips; and total, max, median and mean
+    of these flips over all scenarios. Samples of a single scenario have nothing to leave out."""
+    per = verdicts.groupBy("sample", "scenario").agg(F.bool_and("ok").alias("ok"))
+    fails = per.groupBy("sample").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_fail"), F.min(F.when(~F.col("ok"), F.col("scenario"))).alias("scenario"))
+    flips = fails.filter("n > 1 AND n_fail = 1").groupBy("scenario").agg(F.count("*").alias("flips"))
+    each = per.select("scenario").distinct().join(flips, "scenario", "left").select("scenario", F.coalesce("flips", F.lit(0)).alias("flips"))
+    w = Window.partitionBy(F.lit(0))
+    return each.select("scenario", "flips", F.sum("flips").over(w).alias("total"), F.max("flips").over(w).alias("most"), F.median("flips").over(w).alias("median"), F.round(F.avg("flips").over(w), 9).alias("mean"))
+
+
+def verdict_leave_one_out_by_order(spark, sf_dir):
+    """Leave-one-out with orders as samples and line numbers as scenarios."""
+    ok = (F.col("l_discount") <= 0.05) | (F.col("l_returnflag") != "R")
+    return leave_one_out(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("scenario"), ok.alias("ok")))
+
+
 def verdict_best_of_k(spark, sf_dir):
     """Calls until the first success in order of seed, failures first, else all; by tier. Kept with its SQL; verdict_best_of_k_in_order doesn't look at the outcome."""
     w = Window.partitionBy("task").orderBy("seed", "valid")
@@ -289,6 +306,11 @@ ORACLE_SQL = {
     "verdict_leave_one_out": f"""WITH {L}, p AS (SELECT task, seed, bool_and(scenario OR compiles) AS ok FROM t GROUP BY 1, 2),
         f AS (SELECT task, min(seed) AS seed FROM p WHERE NOT ok GROUP BY 1 HAVING count(*) = 1)
         SELECT seed, count(task) AS flips FROM (SELECT DISTINCT seed FROM p) LEFT JOIN f USING (seed) GROUP BY 1""",
+    "verdict_leave_one_out_by_order": """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS scenario, bool_and(l_discount <= CAST(0.05 AS DOUBLE) OR l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2),
+        x AS (SELECT a.scenario FROM p a WHERE NOT a.ok AND a.k IN (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (NOT ok) = 1)),
+        f AS (SELECT s.scenario, count(x.scenario) AS flips FROM (SELECT DISTINCT scenario FROM p) s LEFT JOIN x ON s.scenario = x.scenario GROUP BY 1),
+        a AS (SELECT CAST(sum(flips) AS BIGINT) AS total, max(flips) AS most, median(flips) AS median, round(avg(flips), 9) AS mean FROM f)
+        SELECT * FROM f, a""",
     "verdict_best_of_k": f"""WITH {L}, o AS (SELECT task, tier, valid, row_number() OVER (PARTITION BY task ORDER BY seed, valid) AS i FROM t),
         p AS (SELECT task, tier, min(i) FILTER (valid) AS f, count(*) AS k FROM o WHERE i <= 10 GROUP BY 1, 2)
         SELECT tier, round(avg(CAST(f IS NOT NULL AS INTEGER)), 9) AS success, CAST(sum(coalesce(f, k)) AS BIGINT) AS calls FROM p GROUP BY 1""",
