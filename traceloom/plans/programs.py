@@ -1,4 +1,4 @@
-"""Queries over program texts: extraction, lint, durations, formulas and mutants of a few programs stated here."""
+"""Queries over program texts: extraction, lint, durations, formulas and mutants of a few programs stated here; extraction, lint and mutants of all documents too."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import text as X
 from traceloom.operators import mutation
+from traceloom.sources.tables import table
 
 #: Own programs and replies.
 PROGRAMS = {
@@ -32,15 +33,32 @@ def frame(spark, rows):
     return spark.createDataFrame(list(rows.items()), "id string, code string")
 
 
-def program_lint(spark, sf_dir):
+def texts(spark, sf_dir):
+    """All documents as programs."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
+
+
+def lint(programs):
     c = F.col("code")
-    return frame(spark, PROGRAMS).select("id", X.balanced(c).alias("balanced"), F.length(X.without_comments(c)).alias("n_plain"), X.short_digest(c).alias("digest"), c.rlike("(?i)t#0*1s").alias("one_second"))
+    return programs.select("id", X.balanced(c).alias("balanced"), F.length(X.without_comments(c)).alias("n_plain"), X.short_digest(c).alias("digest"), c.rlike("(?i)t#0*1s").alias("one_second"))
+
+
+def program_lint(spark, sf_dir):
+    return lint(frame(spark, PROGRAMS))
+
+
+def program_lint_documents(spark, sf_dir):
+    return lint(texts(spark, sf_dir))
 
 
 def program_extract(spark, sf_dir):
     return frame(spark, REPLIES).select("id", X.program_of(F.col("code")).alias("program"))
 
 
+def program_extract_documents(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", X.program_of(F.col("code")).alias("program"))
+
+
 def program_durations(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in DURATIONS], "literal string").select("literal", X.ticks(F.col("literal")).alias("ticks"))
 
@@ -55,6 +73,10 @@ def program_mutants(spark, sf_dir):
     return mutation.mutants(frame(spark, PROGRAMS)).select("id", "rule", "offset", "mutant")
 
 
+def program_mutants_documents(spark, sf_dir):
+    return mutation.mutants(texts(spark, sf_dir)).select("id", "rule", "offset", "mutant")
+
+
 def program_first_bugs(spark, sf_dir):
     """Kept with its SQL; program_bug_rules has the bug rules themselves."""
     return mutation.first_swaps(frame(spark, PROGRAMS)).select("id", *(F.md5(c).alias(c) for c in ("weaken_or", "flip_compare", "force_true")))
@@ -97,4 +119,8 @@ ORACLE_SQL = {
             CASE WHEN ge > 0 THEN left(code, ge - 1) || '>' || substr(code, ge + 2) WHEN le > 0 THEN left(code, le - 1) || '<' || substr(code, le + 2) END AS flip_compare,
             CASE WHEN off > 0 THEN left(code, off - 1) || ':= TRUE;' || substr(code, off + 9) END AS force_true FROM d""",
 }
+ORACLE_SQL |= {
+    f"{k}_documents": ORACLE_SQL[k].replace(values(rows, "p"), "p(id, code) AS (SELECT doc_id, text FROM documents)")
+    for k, rows in {"program_lint": PROGRAMS, "program_extract": REPLIES, "program_mutants": PROGRAMS}.items()
+}
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}
