@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions.trace import Order, scans_of
+from traceloom.sources.shared import stored
 
 Env = dict[str, Column]
 
@@ -70,18 +69,8 @@ def with_inputs(df: DataFrame, controller: Controller, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder (a local one where none is set, as in tests) and read again.
-
-    A table rather than a checkpoint: those keep the constraints of their plan, which double from round to round.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="traceloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/states-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: a checkpoint would keep the constraints of its plan, which double each round."""
+    return stored(df, "states")
 
 
 def edges(states: DataFrame, controller: Controller) -> DataFrame:

@@ -64,7 +64,7 @@ def first_given(*names: str) -> Column:
 
 
 def write_subsets(rows: DataFrame, path: str, subset: Column, kind: str = "json") -> None:
-    """A folder for each subset; those already there are replaced one by one, so an interrupted run goes on where it stopped."""
+    """A folder for each subset. One job commits all of them together; subsets that it doesn't have stay as they are."""
     rows.withColumn("subset", subset).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subset").format(kind).save(path)
 
 
