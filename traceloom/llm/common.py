@@ -1,35 +1,32 @@
-"""What the corpus operators share: intermediate tables, id hashes and row locators."""
+"""What the corpus operators share: intermediate tables, id hashes, row locators and samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-FILE, ROW = "__file", "__row"
+from traceloom.sources.shared import delete, new_path, scratch, shared_dir, stored, stored_at
 
+__all__ = [
+    "FILE", "LOCATOR", "ROW", "Bits", "bounded_sample", "counted", "ddl", "delete", "fetch", "id_bucket", "located", "new_path", "scratch", "shared_dir",
+    "spread_join", "stored", "stored_at", "without",
+]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="traceloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+#: Names that no table of a user has.
+FILE, ROW = "traceloom_file_5d1b7c", "traceloom_row_5d1b7c"
+MOST_BITS = 26
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def ddl(df: DataFrame, *left_out: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in left_out)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """df, stored, and what the measures (aggregates) come to over it, taken while it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return out, seen.get
 
 
 def id_bucket(id_col: str, n: int) -> Column:
@@ -49,11 +46,72 @@ def located(docs: DataFrame) -> DataFrame:
         return stored(docs, "located").select("*", *pick)
 
 
+class Bits:
+    """A bitmap of hashed keys: 16 bits a key, but 2^MOST_BITS (8 MB) at most, so it may be broadcast.
+
+    A key that is in it has its bit set, of the others one in 16 while the bound isn't reached; past it, more. So it only says
+    which rows a join needn't look at, and nothing depends on it but what is moved.
+    """
+
+    def __init__(self, keys: DataFrame, n: int, on: tuple[str, ...]):
+        self.n, self.on = 1 << min(MOST_BITS, max(15, (16 * n).bit_length())), on
+        part, bit = self.place()
+        self.parts = F.broadcast(keys.groupBy(part.alias("traceloom_part")).agg(F.bitmap_construct_agg(bit).alias("traceloom_bits")))
+
+    def place(self) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(*self.on), F.lit(self.n))
+        return F.call_function("shiftright", at, F.lit(15)), at.bitwiseAND(F.lit(32767))
+
+    def test(self, rows: DataFrame, there: bool) -> DataFrame:
+        """The rows whose bit is set (there) or isn't."""
+        part, bit = self.place()
+        byte = F.substring(F.col("traceloom_bits"), (F.call_function("shiftright", bit, F.lit(3)) + 1).cast("int"), F.lit(1))
+        shifted = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int"))
+        return rows.join(self.parts, (part == F.col("traceloom_part")) & (shifted.bitwiseAND(F.lit(1)) == 1), "left_semi" if there else "left_anti")
+
+
+LOCATOR = (FILE, ROW)
+
+
+def fetch(rows: DataFrame, keys: DataFrame, n: int, on: tuple[str, ...] = LOCATOR) -> DataFrame:
+    """rows joined with keys (n rows) on their common columns; hardly any other rows are moved."""
+    return Bits(keys, n, on).test(rows, True).join(keys, list(on))
+
+
+def without(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Located docs without the rows that keys (located, n rows) name; only those, and few others, are moved."""
+    if not n:
+        return docs
+    bits = Bits(keys, n, LOCATOR)
+    return bits.test(docs, False).unionByName(bits.test(docs, True).join(keys.select(*LOCATOR), list(LOCATOR), "left_anti"))
+
+
+#: Parts into which the rows of one key are dealt in ``spread_join``.
+PARTS = 4
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has one row a key; a key that many rows have is dealt out by the hash of another column.
+
+    Rows of small are repeated for each part. As both sides are dealt out anew for this join, Spark can also split what is left of
+    a hot key; where small comes from an aggregation by the key, it couldn't otherwise.
+    """
+    parts = small.withColumn("traceloom_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("traceloom_part", F.pmod(F.xxhash64(salt), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, [key, "traceloom_part"], how).drop("traceloom_part")
+
+
 def bounded_sample(rows: DataFrame, key: str, limit: int, total: int | None = None) -> DataFrame:
-    """At most limit rows, those with the smallest hash of key; the filter in front keeps the sort small."""
+    """At most limit of the distinct rows, those with the smallest hashes of all columns, in the order of the hashes.
+
+    The filter in front keeps the sort small. Rows that are repeated count once, and a key that many rows share doesn't matter.
+    """
     total = rows.count() if total is None else total
-    if total <= limit:
-        return rows
-    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    share = min(1_000_000, int(1_000_000 * 1.2 * limit / total) + 200)
-    return rows.filter(h < share).orderBy(h, F.col(key)).limit(limit)
+    hash_of = F.pmod(F.xxhash64(F.col(key).cast("string"), *rows.columns, F.lit("sample")), F.lit(1 << 30))
+    share = min(1.0, 1.3 * (limit + 100) / max(1, total))
+    while True:
+        few = rows.withColumn("sample_hash", hash_of).filter(F.col("sample_hash") < int(share * (1 << 30))).distinct()
+        few = stored(few.orderBy("sample_hash", *rows.columns).limit(limit), "sample")
+        if share >= 1 or few.count() >= min(limit, total):
+            return few.orderBy("sample_hash", *rows.columns).drop("sample_hash")
+        share = min(1.0, share * 8)

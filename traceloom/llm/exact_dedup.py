@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import FILE, ROW, located, new_path, stored
+from traceloom.llm.common import FILE, LOCATOR, ROW, counted, fetch, located, new_path, without
 
 #: ASCII white space, which does not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,6 +45,12 @@ class DedupStream:
     home: str
     files_per_batch: int | None = None
 
+    def batches(self, out: str) -> int:
+        """Folders of batches, whose numbers don't change when a batch is run again."""
+        context = self.spark.sparkContext
+        done = context._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*")
+        return len(done.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(done) or ())
+
     def run(self, arrivals: str, schema) -> DataFrame:
         """The state after the arrivals in the folder: digest, keep (struct), group_size."""
         spark, out = self.spark, f"{self.home}/state"
@@ -70,13 +76,11 @@ class DedupStream:
         finally:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        try:
-            changes = spark.read.parquet(out)
-        except Exception as e:  # no batch has run: nothing has arrived
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        batches = self.batches(out)
+        if not batches:  # nothing has arrived
             return spark.createDataFrame([], f"digest string, keep {schema_of_keep(schema)}, group_size long")
-        if spark.read.parquet(out).select("batch").distinct().count() == 1:
+        changes = spark.read.parquet(out)
+        if batches == 1:
             return changes.drop("batch")
         return changes.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
@@ -104,50 +108,50 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, digest=sha256) ->
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and its locator. The id must be a number."""
+def marked_rows(docs: DataFrame, id_col: str, text_col: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of located docs without their texts: what ``fingerprints`` gives, with keep (the row that stays) and group_size."""
     spark = docs.sparkSession
-    docs = docs if FILE in docs.columns else located(docs)
     home = new_path(spark, "dedup")
     arrivals = f"{home}/arrivals"
     prints = fingerprints(docs, id_col, text_col, digest)
     prints.write.parquet(arrivals)
     rows = spark.read.schema(prints.schema).parquet(arrivals)
     state = DedupStream(spark, home, files_per_batch).run(arrivals, prints.schema)
-    marked = stored(rows.join(state, "digest"), "dedup-marked")
-    split = verify_bytes(docs, marked.filter("group_size > 1"), text_col)
-    if not split.isEmpty():
-        marked = split_classes(docs, marked, split, text_col)
-    return marked.select(
-        "doc_id",
-        F.col("keep.doc_id").alias("keep_id"),
-        "group_size",
-        ((F.col(f"keep.{FILE}") == F.col(FILE)) & (F.col(f"keep.{ROW}") == F.col(ROW))).alias("kept"),
-        "text_sha256",
-        FILE,
-        ROW,
-    )
+    marked, seen = counted(rows.join(state, "digest"), "dedup-marked", hits=F.count_if(F.col("group_size") > 1))
+    if not seen["hits"]:
+        return marked
+    split, more = verify_bytes(docs, marked.filter("group_size > 1"), seen["hits"], text_col)
+    return split_classes(docs, marked, split, text_col) if more else marked
+
 
+def stays() -> Column:
+    return (F.col(f"keep.{FILE}") == F.col(FILE)) & (F.col(f"keep.{ROW}") == F.col(ROW))
 
-def verify_bytes(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """Digests of hits that stand for more than one text.
 
-    The join goes by locator, which is unique, so a large group spreads over all tasks; min and max meet before the shuffle.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. The id must be a whole number."""
+    marked = marked_rows(located(docs), id_col, text_col, digest, files_per_batch)
+    return marked.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", stays().alias("kept"), "text_sha256")
+
+
+def verify_bytes(docs: DataFrame, hits: DataFrame, n: int, text_col: str) -> tuple[DataFrame, int]:
+    """Digests of the n hits that stand for more than one text, and how many.
+
+    Only texts of hits (and few others, see ``Bits``) are moved, by locator, which is unique, so a large group spreads over all
+    tasks; min and max meet before the shuffle by digest.
     """
-    texts = docs.select(FILE, ROW, normalised(F.col(text_col)).alias("norm"))
-    found = texts.join(hits.select(FILE, ROW, "digest"), [FILE, ROW])
-    return stored(
-        found.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter(F.col("a") != F.col("b")).select("digest"), "dedup-split"
-    )
+    texts = docs.select(*LOCATOR, normalised(F.col(text_col)).alias("norm"))
+    found = fetch(texts, hits.select(*LOCATOR, "digest"), n)
+    ends = found.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    split, seen = counted(ends.filter(F.col("a") != F.col("b")).select("digest"), "dedup-split", n=F.count(F.lit(1)))
+    return split, seen["n"]
 
 
 def split_classes(docs: DataFrame, marked: DataFrame, split: DataFrame, text_col: str) -> DataFrame:
     """marked, with the rows of the split digests grouped by their text."""
     own = marked.drop("keep", "group_size").join(split, "digest", "left_semi")
-    texts = docs.select(FILE, ROW, normalised(F.col(text_col)).alias("norm")).join(own, [FILE, ROW])
-    groups = texts.groupBy("norm").agg(
-        F.max(F.struct(*RANK)).alias("keep"), F.count("*").alias("group_size")
-    )
+    texts = docs.select(*LOCATOR, normalised(F.col(text_col)).alias("norm")).join(own, list(LOCATOR))
+    groups = texts.groupBy("norm").agg(F.max(F.struct(*RANK)).alias("keep"), F.count("*").alias("group_size"))
     regrouped = texts.join(groups, "norm").drop("norm")
     return marked.join(split, "digest", "left_anti").unionByName(regrouped.select(*marked.columns))
 
@@ -155,5 +159,5 @@ def split_classes(docs: DataFrame, marked: DataFrame, split: DataFrame, text_col
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are copies; same columns."""
     rows = located(docs)
-    kept = exact_dedup(rows, id_col, text_col).filter("kept").select(FILE, ROW)
-    return rows.join(kept, [FILE, ROW], "left_semi").drop(FILE, ROW)
+    dropped, seen = counted(marked_rows(rows, id_col, text_col).filter(~stays()).select(*LOCATOR), "dedup-dropped", n=F.count(F.lit(1)))
+    return without(rows, dropped, seen["n"]).drop(*LOCATOR)

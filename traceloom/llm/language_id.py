@@ -2,58 +2,75 @@
 
 A text's 1-, 2- and 3-grams of characters (lower-cased, with blanks around the text) are hashed to 2^15 features; a feature's value is
 its share of the text's n-grams times its inverse document frequency. Document frequencies are counted over all rows that may be
-learned from. The weights are fitted by follow-the-regularised-leader with L1 and L2 penalties on a bounded sample of those rows
-(``sample`` of them, by hash of the id), of which a fifth only sets the temperature of the softmax.
-
-Cases: a text that is null or has no letters gets ``und`` and score 0; nulls in id, lang or other columns are fine (rows without
-lang are not learned from); repeated rows are judged alike; an empty table, or one with no labelled rows, gives ``und`` throughout;
-extra columns are ignored (``predict``) or kept (``keep_identified``).
+learned from. The weights are fitted by follow-the-regularised-leader with L1 and L2 penalties on a bounded sample of those rows:
+the ``sample`` distinct rows with the smallest hashes, and of these, in that order, as many as have ``MOST_FEATURES`` features in all.
+They reach the driver as sparse vectors, never as texts. A fifth of them only sets the temperature of the softmax. The model has
+2^15 weights for each language.
+
+Cases: a text that is null or has no letters (Unicode's categories L) gets ``und`` and score 0; nulls in id, lang or other columns are
+fine (rows without lang are not learned from); repeated rows are judged alike and count once in the sample; of equally likely languages
+the first by name is taken; very long texts count as a whole, in pieces of ``PIECE`` characters, so memory does not grow with them; an
+empty table, or one with no labelled rows, gives ``und`` throughout; extra columns are ignored (``identify``) or kept
+(``keep_identified``), whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import bounded_sample, id_bucket
+from traceloom.llm.common import bounded_sample, id_bucket, stored
 
-BITS, ORDERS, SAMPLE = 15, (1, 2, 3), 4000
-CHARS_AT_ONCE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+BITS, ORDERS, SAMPLE, MOST_FEATURES = 15, (1, 2, 3), 4000, 8_000_000
+PIECE = 1 << 17
 MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order, the features at every place of the texts laid end to end; and where each text begins.
+def letters(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
+    """The texts, lower-cased and with blanks around, cut into (number, piece); each n-gram begins in one piece, but for its last two places.
 
-    Each text has two blanks on either side, so that no n-gram that begins in one reaches characters of the next.
+    The blanks keep n-grams that begin in a text from reaching characters of the next.
     """
-    low = ["  " + t.lower() + "  " for t in texts]
-    chars = np.frombuffer(("".join(low) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    begins = np.concatenate(([0], np.cumsum([len(t) for t in low])[:-1])).astype(np.int64)
-    n, out, h = len(chars) - 2, [], np.uint32(0)
-    for k in range(max(ORDERS)):
-        h = (h ^ chars[k : k + n]) * MULTIPLY[k]
-        if k + 1 in ORDERS:
-            out.append(((h ^ (h >> np.uint32(15))) * MULTIPLY[0] >> np.uint32(32 - BITS)).astype(np.int32))
-    return out, begins
-
-
-def groups(texts: list[str]):
-    """Slices of the list of about CHARS_AT_ONCE characters."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 4
-        if size >= CHARS_AT_ONCE:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    for k, t in enumerate(texts):
+        low = "  " + t.lower() + "    "
+        for at in range(0, len(low) - 2, PIECE):
+            yield k, low[at : at + PIECE + 2]
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Pieces of about PIECE characters at a time, end to end: the number of each one's text, for each order the features at every
+    place, and where pieces begin and end, in turn."""
+    batch: list[tuple[int, str]] = []
+    size = 0
+
+    def featured():
+        chars = np.frombuffer("".join(p for _, p in batch).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, out, h = len(chars) - 2, [], np.uint32(0)
+        for k in range(max(ORDERS)):
+            h = (h ^ chars[k : k + n]) * MULTIPLY[k]
+            if k + 1 in ORDERS:
+                out.append(((h ^ (h >> np.uint32(15))) * MULTIPLY[0] >> np.uint32(32 - BITS)).astype(np.int32))
+        ends = np.cumsum([len(p) for _, p in batch])
+        begins = np.concatenate(([0], ends[:-1]))
+        return np.array([k for k, _ in batch]), out, np.stack([begins, ends - 2], 1).astype(np.int64)
+
+    for k, p in pieces(texts):
+        batch.append((k, p))
+        size += len(p)
+        if size >= PIECE:
+            yield featured()
+            batch, size = [], 0
+    if batch:
+        yield featured()
 
 
 @dataclass
@@ -64,13 +81,13 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        out = []
-        for a, b in groups(texts):
-            features, begins = grams(texts[a:b])
-            n = np.diff(np.append(begins, len(features[0])))
-            total = sum(np.stack([np.add.reduceat(w[f], begins) for w in self.columns], 1) for f in features)
-            out.append(total / (len(ORDERS) * n)[:, None] + self.bias)
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
+        total, n, columns = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), self.columns
+        for of, features, bounds in grams(texts):
+            at = bounds.ravel()[:-1]  # what lies between two pieces is summed too, and dropped
+            part = sum(np.stack([np.add.reduceat(w[f], at)[::2] for w in columns], 1) for f in features)
+            np.add.at(total, of, part)
+            np.add.at(n, of, bounds[:, 1] - bounds[:, 0])
+        return total / (len(ORDERS) * np.maximum(n, 1))[:, None] + self.bias
 
     @property
     def columns(self) -> list[np.ndarray]:
@@ -91,15 +108,18 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
     def run(batches):
         df, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for a, b in groups(texts):
-                features, begins = grams(texts[a:b])
-                for i, j in zip(begins, np.append(begins[1:], len(features[0])), strict=True):
-                    seen[:] = False
+            last = -1
+            for of, features, bounds in grams([t for t in batch.column(0).to_pylist() if t]):
+                for k, (i, j) in zip(of.tolist(), bounds.tolist(), strict=True):
+                    if k != last:
+                        if last >= 0:
+                            df += seen
+                        seen[:] = False
+                        n, last = n + 1, k
                     for f in features:
                         seen[f[i:j]] = True
-                    df += seen
-                    n += 1
+            if last >= 0:
+                df += seen
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(df[found], n), pa.int64())], names=["feature", "n"])
 
@@ -113,10 +133,30 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return df, n
 
 
-def sparse(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    f = np.concatenate(grams([text])[0])
-    index, count = np.unique(f, return_counts=True)
-    return index, count / len(f) * idf[index]
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's features and their shares."""
+    count = np.zeros(1 << BITS, np.int64)
+    for _, features, bounds in grams([text]):
+        for i, j in bounds.tolist():
+            for f in features:
+                count += np.bincount(f[i:j], minlength=1 << BITS)
+    index = np.flatnonzero(count)
+    return index, count[index] / count.sum()
+
+
+def vectors(sample: DataFrame, most_features: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, features, shares) of the rows (lang, text, sample_hash), in the order of their hashes, up to most_features features."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sparse(t) for t in batch.column("text").to_pylist()]
+            own = [pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), *own], names=["lang", "place", "index", "share"])
+
+    rows = stored(sample.mapInArrow(run, "lang string, place long, index array<int>, share array<float>"), "language-vectors")
+    size = F.sum(F.size("index")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    some = rows.withColumn("total", size).filter(F.col("total") <= most_features).orderBy("place")
+    return [(r.lang, np.array(r.index), np.array(r.share)) for r in some.select("lang", "index", "share").toLocalIterator()]
 
 
 def follow_the_leader(data, labels, n_labels: int, idf, epochs=3, alpha=0.5, beta=1.0, l1=2e-4, l2=1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -158,41 +198,30 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
+def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Model:
     """Learn from rows with a language."""
-    rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    languages = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null").filter(letters("text"))
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not languages:
         return Model(["und"], np.zeros((1 << BITS, 1)), np.zeros(1))
-    df, n = document_frequencies(rows, text_col)
+    df, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
-    taken = bounded_sample(rows.select(id_col, text_col, lang_col), id_col, sample, n).collect()
-    texts, labels = [r[1] for r in taken], np.array([languages.index(r[2]) for r in taken])
-    held = np.arange(len(texts)) % 5 == 4
-    data = [sparse(t, idf) for t, h in zip(texts, held, strict=True) if not h]
+    taken = vectors(bounded_sample(rows, "id", sample, n).withColumn("place", F.xxhash64("id", "text", "lang")), most_features)
+    labels = np.array([languages.index(r[0]) for r in taken])
+    held = np.arange(len(taken)) % 5 == 4
+    data = [(i, v * idf[i]) for (_, i, v), h in zip(taken, held, strict=True) if not h]
     weights, bias = follow_the_leader(data, labels[~held], len(languages), idf)
     model = Model(languages, (weights * idf[:, None]).astype(np.float32), bias)
-    model.temperature = fit_temperature(model.logits([t for t, h in zip(texts, held, strict=True) if h]), labels[held])
+    logits = [(v * idf[i]) @ weights[i] + bias for (_, i, v), h in zip(taken, held, strict=True) if h]
+    model.temperature = fit_temperature(np.array(logits), labels[held])
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        own = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            p = own.probabilities(texts)
-            best = p.argmax(1) if len(p) else []
-            known = [bool(LETTER.search(t)) for t in texts]
-            name = [own.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            score = [float(x[b]) if k and own.languages[b] != "und" else 0.0 for x, b, k in zip(p, best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+def judged(model: Model, texts: list[str | None], known: list[bool]) -> tuple[list[str], list[float]]:
+    p = model.probabilities([t or "" for t in texts])
+    best = p.argmax(1) if len(p) else []
+    found = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+    return found, [float(x[b]) if name != "und" else 0.0 for x, b, name in zip(p, best, found, strict=True)]
 
 
 def train_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -201,13 +230,27 @@ def train_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(id_bucket(id_col, 4) == 2, F.lit(False)).alias("held_out"))
-    return predict(rows, train_held_out(docs, id_col, text_col, lang_col)).drop("text")
+    shared = docs.sparkSession.sparkContext.broadcast(train_held_out(docs, id_col, text_col, lang_col))
+
+    def run(batches):
+        for batch in batches:
+            name, score = judged(shared.value, batch.column("text").to_pylist(), batch.column("known").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    held = F.coalesce(id_bucket(id_col, 4) == 2, F.lit(False)).alias("held_out")
+    rows = docs.select(F.col(id_col).alias("doc_id"), held, letters(text_col).alias("known"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs whose language is recognised with a calibrated probability of at least ``least``; same columns."""
-    model = train_held_out(docs, id_col, text_col, lang_col)
-    plain = docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    found = predict(plain, model, text_col).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.select(*plain.columns).withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score")})
+    shared = docs.sparkSession.sparkContext.broadcast(train_held_out(docs, id_col, text_col, lang_col))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            name, score = judged(shared.value, texts, [t is not None for t in texts])
+            keep = [n != "und" and s >= least for n, s in zip(name, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.filter(letters(text_col)).mapInArrow(run, docs.schema)

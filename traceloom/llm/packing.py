@@ -2,13 +2,16 @@
 
 Items have three sizes: tokens, segments (each item is one) and loss-bearing tokens. A bin takes, of the items that still fit, the
 one whose size vector has the largest dot product with what the bin has left, each dimension in parts of its limit. Items that may
-be cut (documents, of which every token bears loss) are cut where nothing fits and a worthwhile gap remains, and what is left
-over in the last bin of a task is dealt out in lengths that are powers of two, which need no padding. Items that may not be cut
+be cut (documents, of which every token bears loss) are cut where nothing fits and a worthwhile gap remains; a bin that the limit
+of segments closes, and what is left over in the last bin of a task, are dealt out in lengths that are powers of two, which need no
+padding. Items that may not be cut
 (instruction data) and are over a limit by themselves are returned alone, marked ``oversize``.
 
 Each task packs what it reads, in groups of bounded size, so nothing is shuffled and memory does not depend on the table. A
 sequence's id is made of the task's partition and a counter. Cases: null text packs as empty (its end token only); equal, repeated
-and null ids are fine, as rows are packed one by one; an empty table gives no pieces; extra columns are ignored.
+and null ids are fine, as rows are packed one by one; of items whose dot products tie the first is taken; a very long text is encoded
+word by word and gives full sequences at once, so only its ids are held; an empty table gives no pieces; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -173,7 +176,8 @@ def pack_rows(rows: Iterator[tuple[object, bytes]], first: int, limits=LIMITS) -
         lengths = np.array([x[3] - x[2] for x in pool])
         bins = [[(pool[i], pool[i][2] + a, n) for i, a, n in b] for b in fill(lengths, np.ones_like(lengths), lengths, limits)] if pool else []
         tail = bins.pop() if bins and sum(p[2] for p in bins[-1]) < most - MIN_CUT else []
-        out = [r for b in bins for r in close(b)]
+        # A bin that the limit of segments closed is dealt out in powers of two as well.
+        out = [r for b in bins for c in ([b] if sum(p[2] for p in b) >= most - MIN_CUT else powers(b)) for r in close(c)]
         if last:
             out += [r for b in powers(tail) for r in close(b)]
             pool = []

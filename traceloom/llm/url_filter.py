@@ -2,16 +2,20 @@
 
 Host and path are cut by string functions. A rule fits its host and all subdomains if the path starts with the rule's; the longest
 (host and path together) wins. URLs that no rule fits get the verdict of a logistic regression over hashed 3- to 5-grams of host and
-path, learned from a small table of labelled URLs. Scoring stays in the JVM: n-grams are hashed and looked up in the weights.
+path, learned from a small table of labelled URLs, which was written by hand and shares no host with other data. Scoring stays in the
+JVM: n-grams are hashed and looked up in the weights, in time proportional to the URL's length.
 
-Cases: a null URL, or one without ``://``, has an empty host and path and gets the regression's verdict on them; repeated rows and null
-ids are judged one by one; an empty table gives an empty result; extra columns are ignored; very long URLs count as a whole.
+Cases: a null URL, or one without ``://``, has an empty host and path and gets the regression's verdict on them; rules that are equally
+long are tried by name; repeated rows and null ids are judged one by one; an empty table gives an empty result; extra columns are
+ignored, whatever their names; very long URLs count as a whole.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path): fixed values.
@@ -40,45 +44,44 @@ def fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """A small table to learn from (host, path, 1 = block): hosts that sell or lure, against plain ones, under varied paths."""
-    bad = "cheap-pills spam-farm win-prizes free-casino hot-deals adult-cams click-bait fake-news-hub loan-shark pills-online casino-bonus spam-mail ads-serve ads-click track-pixel tracker-ads free-coins free-gifts best-bets bets-live adult-chat adult-video win-cash".split()
-    good = "news library museum weather science garden school research kitchen travel history music".split()
-    hosts = [(h, 1) for h in bad] + [(h, 0) for h in good]
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    hosts += [("".join(syllables[(7 * i + 11 * k * (i % 5 + 1)) % len(syllables)] for k in range(2 + i % 3)), 0) for i in range(60)]
-    prefixes, ends, langs = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
-    return [
-        (f"{prefixes[(i + j) % 4]}{h}.example.{ends[(i * 2 + j) % 3]}", f"/{langs[(i + 3 * j) % 4]}/{(i * 37 + j * 211) % 1000}" + ("", "/", ".html")[(i + j) % 3], y)
-        for i, (h, y) in enumerate(hosts)
-        for j in range(4)
-    ]
+    """The table to learn from (host, path, 1 = block), which labelled_urls.tsv holds; its first lines say where it comes from."""
+    text = resources.files("traceloom.llm").joinpath("labelled_urls.tsv").read_text(encoding="utf-8")
+    rows = [line.split("\t") for line in text.splitlines() if line and not line.startswith("#")]
+    return [(host, path, int(label == "block")) for label, host, path in rows]
 
 
-def gram_buckets(texts: list[str], spark) -> dict[str, int]:
-    rows = spark.createDataFrame([(t,) for t in texts], "g string").select("g", bucket(F.col("g")).alias("b")).collect()
-    return {r.g: r.b for r in rows}
+def gram_buckets(host: Column, path: Column) -> Column:
+    """Buckets of the 3- to 5-grams of ``^host|path$``, one after another; every character is looked at a fixed number of times."""
+    chars = F.split(F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$")), "")
 
+    def of(chars: Column, k: int) -> Column:
+        last = F.size(chars) - (k - 1)
+        hashed = lambda i: F.pmod(F.xxhash64(*(F.get(chars, i + j) for j in range(k))), F.lit(BUCKETS)).cast("int")
+        return F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), hashed)).otherwise(F.array().cast("array<int>"))
 
-def bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+    # An array in an array of one: so the characters are split once and not for each gram.
+    once = F.transform(F.array(F.struct(chars.alias("c"))), lambda s: F.concat(*(of(s["c"], k) for k in SIZES)))
+    return F.get(once, 0)
 
 
-def grams(text: str) -> list[str]:
-    return [text[i : i + k] for k in SIZES for i in range(len(text) - k + 1)]
+#: What may stand around a name and means nothing: each row is learned from with several of them.
+PREFIXES, ENDS = ("", "www.", "m.", "shop.", "blog."), ("com", "net", "org", "info", "co.uk")
 
 
-def marked(host: str, path: str) -> str:
-    return f"^{host}|{path}$"
+def variants(table: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """The rows under other prefixes and endings, every other one with the bare path, so that these carry no weight."""
+    return [
+        (PREFIXES[j] + host.removesuffix(".test") + "." + ENDS[(i + j) % len(ENDS)], path if j % 2 == 0 else "/", y) for i, (host, path, y) in enumerate(table) for j in range(len(PREFIXES))
+    ]
 
 
-def train(spark, table: list[tuple[str, str, int]] | None = None) -> tuple[np.ndarray, float]:
-    """Weights by bucket, and the bias: gradient descent with an L2 penalty on the small table."""
-    table = labelled_urls() if table is None else table
-    own = [grams(marked(h, p)) for h, p, _ in table]
-    of = gram_buckets(sorted({g for gs in own for g in gs}), spark)
+def train(spark: SparkSession, table: list[tuple[str, str, int]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights by bucket, and the bias: gradient descent with an L2 penalty on a small labelled table."""
+    table = variants(labelled_urls() if table is None else table)
+    rows = spark.createDataFrame([(i, h, p) for i, (h, p, _) in enumerate(table)], "i int, host string, path string")
     x, y = np.zeros((len(table), BUCKETS)), np.array([r[2] for r in table], float)
-    for i, gs in enumerate(own):
-        np.add.at(x[i], [of[g] for g in gs], 1 / np.sqrt(len(gs)))
+    for i, buckets in rows.select("i", gram_buckets(F.col("host"), F.col("path"))).collect():
+        np.add.at(x[i], buckets, 1 / np.sqrt(len(buckets)))
     w, b, rate = np.zeros(BUCKETS), 0.0, 4.0
     for _ in range(600):
         error = 1 / (1 + np.exp(-(x @ w + b))) - y
@@ -89,17 +92,11 @@ def train(spark, table: list[tuple[str, str, int]] | None = None) -> tuple[np.nd
 
 def probability(host: Column, path: Column, weights: np.ndarray, bias: float) -> Column:
     """Of label 1; the weights are one literal array of fixed size."""
-    text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
     table = F.from_json(F.lit("[" + ",".join(f"{v:.9g}" for v in weights) + "]"), "array<double>")
-    n = F.length(text)
-
-    def total(k: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))
-        own = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get(table, bucket(F.substr(text, i, F.lit(k)))))
-        return F.when(n >= k, own).otherwise(F.lit(0.0))
-
-    count = sum((F.greatest(n - (k - 1), F.lit(0)) for k in SIZES[1:]), F.greatest(n - (SIZES[0] - 1), F.lit(0)))
-    z = sum((total(k) for k in SIZES[1:]), total(SIZES[0])) / F.sqrt(count) + bias
+    total = F.aggregate(
+        gram_buckets(host, path), F.struct(F.lit(0.0).alias("z"), F.lit(0).alias("n")), lambda s, b: F.struct((s["z"] + F.get(table, b)).alias("z"), (s["n"] + 1).alias("n"))
+    )
+    z = F.get(F.transform(F.array(total), lambda t: t["z"] / F.sqrt(t["n"])), 0) + bias
     return 1 / (1 + F.exp(-z))
 
 
