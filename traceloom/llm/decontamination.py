@@ -227,10 +227,10 @@ def scan(
     return rows.mapInArrow(run, f"{ddl(docs.select(*keep))}, {FOUND}")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = scan(rows, benchmark, with_spans=False)
+    found = scan(rows, benchmark, with_spans=False, most_words=most_words)
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
     return found.select(
         "doc_id",

@@ -6,7 +6,8 @@ digest that was hit is then checked on full bytes: the texts are fetched by loca
 one text are grouped by the text itself, so equal digests alone never drop a row.
 
 Cases: null text counts as empty, and all empty texts are copies of each other; a null id loses to any other id; repeated rows
-are copies, of which exactly one stays (the last in file order); an empty table gives an empty result; other columns are ignored.
+are copies, of which exactly one stays (the last in file order); very long texts are hashed and compared as whole values in the JVM,
+up to the 2 GB of one value; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -156,7 +156,7 @@ def vectors(sample: DataFrame, most_features: int) -> list[tuple[str, np.ndarray
     rows = stored(sample.mapInArrow(run, "lang string, place long, index array<int>, share array<float>"), "language-vectors")
     size = F.sum(F.size("index")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     some = rows.withColumn("total", size).filter(F.col("total") <= most_features).orderBy("place")
-    return [(r.lang, np.array(r.index), np.array(r.share)) for r in some.select("lang", "index", "share").toLocalIterator()]
+    return [(r[0], np.array(r[1]), np.array(r[2])) for r in some.select("lang", "index", "share").toLocalIterator()]
 
 
 def follow_the_leader(data, labels, n_labels: int, idf, epochs=3, alpha=0.5, beta=1.0, l1=2e-4, l2=1e-4) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,9 @@ class covariance is shrunk towards the pooled one and towards its diagonal; its
 text's score is the difference of the classes' Mahalanobis log densities, mapped to a probability by a logistic fit on the same rows.
 
 Cases: null and empty texts have the statistics of an empty text and get a score like any other; null ids are never learned from;
-repeated rows score alike; labels that are null are left out; with fewer than two classes to learn from, every score is the share
-of label 1 (0.5 without labels); extra columns are ignored; an empty table gives an empty result.
+repeated rows score alike; labels that are null are left out, and an id with both labels counts as 1; a very long text is measured as
+a whole, in memory proportional to its length; with fewer than two classes to learn from, every score is the share of label 1 (0.5
+without labels); extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import id_bucket, stored
+from traceloom.llm.common import ddl, id_bucket, stored
 
 THRESHOLD = 0.3
 POOL, DIAGONAL, RIDGE = 0.1, 0.05, 1e-3
@@ -70,8 +71,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             rows = [statistics(t.as_py() or "") for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, pa.list_(pa.float64()))], names=[*others, "stats"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text_col)
-    return docs.mapInArrow(run, f"{kinds}stats array<double>")
+    return docs.mapInArrow(run, f"{ddl(docs, text_col)}, stats array<double>")
 
 
 @dataclass

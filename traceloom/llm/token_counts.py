@@ -7,11 +7,13 @@ count. A transition is annotated with the number of tokens by which the count ch
 
 Pieces have blanks at their front only, so a blank after another character leads to one state whatever came before, and so does a
 character that is part of no longer piece. A chunk's map of states is therefore its head (before the first such place), a count, and
-its tail (after the last); two maps compose by running tail and head from the synchronised state, which is associative, and the
-maps of a text's chunks are composed by a tree of pairs. Paths between two such places are kept as one transition (a word).
+its tail (after the last); two maps compose by running tail and head from the synchronised state, which is associative. A text of more
+than ``CHUNK`` characters is cut into chunks, which are rows of their own and are dealt to tasks; their maps are composed by a tree of
+aggregations, ``FANOUT`` neighbours at a time, so no task reads the text. Paths between two such places are kept as one transition (a word).
 
 Cases: null text counts as empty, with 0 tokens; rows are counted one by one, so null and repeated ids are fine; special strings
-are ordinary text; extra columns are ignored; an empty table gives an empty result.
+are ordinary text; a text without a place that synchronises is composed by joining its chunks, in one task; extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+from traceloom.llm.common import counted
+
+CHUNK, FANOUT = 1 << 17, 32
 LIMIT = 4096
 CACHE_WORDS, CACHE_STATES, LONG_WORD = 400_000, 250_000, 64
 STOPS = frozenset(".,;:!?")
@@ -161,18 +166,22 @@ class Transducer:
             return (a[0], a[1], joined) if isinstance(joined, str) else (a[0], a[1] + self.body(joined[0]) + joined[1], joined[2])
         return a[0], a[1] + self.body(a[2] + b[0]) + b[1], b[2]
 
-    def count(self, text: str, size: int = CHUNK) -> int:
-        if not text:
-            return 0
-        text = BLANK + text.replace(" ", BLANK)
-        if len(text) <= size:
-            return self.body(text)
-        maps = [self.chunk(text[i : i + size]) for i in range(0, len(text), size)]
+    def all_composed(self, maps: list):
         while len(maps) > 1:  # each round composes neighbours
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
+        return maps[0]
+
+    def tokens(self, m: tuple[str, int, str] | str) -> int:
+        """Of a whole text, from its map."""
         return self.body(m) if isinstance(m, str) else self.body(m[0]) + m[1] + self.body(m[2])
 
+    def count(self, text: str) -> int:
+        return self.body(marked(text)) if text else 0
+
+
+def marked(text: str) -> str:
+    return BLANK + text.replace(" ", BLANK)
+
 
 _compiled: dict[str, Transducer] = {}
 
@@ -192,15 +201,69 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+MAP = "text_key long, chunk long, head string, tokens long, tail string"
+
+
+def as_table(rows: list[tuple]) -> pa.RecordBatch:
+    """(text_key, chunk, map) as a batch; a map that is a text has no tail."""
+    split = [(k, c, m, 0, None) if isinstance(m, str) else (k, c, *m) for k, c, m in rows]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    columns = list(zip(*split, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "chunk", "head", "tokens", "tail"])
+
+
+def composed(chunks: DataFrame, last: int, path: str) -> DataFrame:
+    """(text_key, n_tokens) of texts whose chunks (text_key, chunk, part), numbered up to last, are rows."""
+
+    def maps(batches):
+        machine = transducer(path)
+        for batch in batches:
+            yield as_table([(k, c, machine.chunk(t)) for k, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True)])
+
+    def join(table: pa.Table) -> pa.Table:
+        machine = transducer(path)
+        rows = sorted(zip(*(x.to_pylist() for x in table.select(["text_key", "chunk", "head", "tokens", "tail"]).columns), strict=True))
+        found = machine.all_composed([head if tail is None else (head, n, tail) for _, _, head, n, tail in rows])
+        return pa.Table.from_batches([as_table([(rows[0][0], rows[0][1] // FANOUT, found)])])
+
+    def ends(batches):
+        machine = transducer(path)
+        for batch in batches:
+            rows = zip(*(x.to_pylist() for x in batch.select(["head", "tokens", "tail"]).columns), strict=True)
+            n = [machine.tokens(head if tail is None else (head, n, tail)) for head, n, tail in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(n, pa.int64())], names=["text_key", "n_tokens"])
+
+    found = chunks.repartition("text_key", "chunk").mapInArrow(maps, MAP)
+    while last:
+        found = found.groupBy("text_key", F.floor(F.col("chunk") / FANOUT).alias("parent")).applyInArrow(join, MAP)
+        last //= FANOUT
+    return found.mapInArrow(ends, "text_key long, n_tokens long")
+
+
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit."""
+    kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        machine = transducer(path)
+        machine, n_long, part = transducer(path), 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            n = [machine.count(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            out = []
+            for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = text.as_py() or ""
+                if len(text) <= chunk:
+                    out.append((key, n, machine.count(text), None, None, None))
+                    continue
+                text = marked(text)
+                out += [(key, n, None, part + n_long, at // chunk, text[at : at + chunk]) for at in range(0, len(text), chunk)]
+                n_long += 1
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_tokens", "text_key", "chunk", "part"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    found, seen = counted(rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, text_key long, chunk long, part string"), "token-counts", last=F.max("chunk"))
+    out = found.filter("text_key is null").select("doc_id", "n_bytes", "n_tokens")
+    if seen["last"] is not None:
+        sums = composed(found.filter("text_key is not null").select("text_key", "chunk", "part"), seen["last"], path)
+        out = out.unionByName(found.filter("chunk = 0").select("doc_id", "n_bytes", "text_key").join(sums, "text_key").drop("text_key"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

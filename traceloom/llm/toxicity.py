@@ -3,18 +3,21 @@
 Features of a text: densities of the words of two lexicons (words that mark toxic texts, and the strongest of them), how near they
 stand to words of the second person and to each other, shares of capitals, exclamation and other punctuation, and of obfuscated words
 (letters mixed with digits or signs, letters repeated or spaced out) as such and as spellings of lexicon words. The lexicons are
-learned: words and beginnings of words that stand in many more contexts in toxic than in other texts, by log odds, over a bounded sample of the labelled rows
-(``sample`` of them, by hash of the id); the trees are fitted on four fifths of that sample and the isotonic map on the rest.
+learned: words and beginnings of words that stand in many more contexts in toxic than in other texts, by log odds, over a bounded
+sample of the labelled rows: of those of the ``sample`` labels with the smallest hashes ``sample`` distinct rows at most and, in the
+order of hashes, as many as have ``SAMPLE_CHARS`` characters in all. The trees are fitted on four fifths of that sample and the isotonic map on the rest.
 
 Cases: null and empty texts have all features 0 and get a score like any other; rows with null ids or labels are not learned from;
-repeated rows score alike; with one class or no labels to learn from every score is the share of label 1 (0 without labels); extra
-columns are ignored; an empty table gives an empty result.
+an id with both labels counts as 1; repeated rows score alike, and count once in the sample; very long texts count as
+a whole (a task holds the words of one text); with one class or no labels to learn from every score is the share of label 1 (0 without
+labels); extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -23,12 +26,13 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import bounded_sample, id_bucket, stored
+from traceloom.llm.common import bounded_sample, counted, ddl, id_bucket, stored
 
-SAMPLE, TREES, DEPTH, THRESHOLD, STEMS = 5000, 12, 3, 0.5, (4, 5, 6)
+SAMPLE, SAMPLE_CHARS, TREES, DEPTH, THRESHOLD, STEMS = 5000, 50_000_000, 12, 3, 0.5, (4, 5, 6)
+PAIRS_AT_ONCE = 500_000
 #: Words of the second person in the languages at hand (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes ti contigo".split())
 #: Signs and digits that stand for letters (fixed values).
@@ -70,38 +74,55 @@ def weigh(word: str, lexicon: dict[str, float]) -> float:
     return best
 
 
-def learn_lexicon(rows: list[tuple[str, int]], most: int = 400) -> dict[str, float]:
-    """Units and their log odds in toxic texts, in units of its error.
+def contexts_of(text: str) -> tuple[int, set[tuple[str, int]]]:
+    """Number of words, and the text's units, each with a hash of the word before."""
+    words = [plain(w) for w in text.split()]
+    return len(words), {(u, zlib.crc32(before.encode("utf-8", "surrogatepass"))) for before, w in zip(["", *words], words, strict=False) for u in units(w)}
 
-    What counts is in how many different contexts (the word before) a unit stands, so that copied passages don't make words toxic.
+
+def contexts(rows: DataFrame, among: set[str] | None = None) -> DataFrame:
+    """(unit, n): in how many different contexts (the word before) each unit stands; and a row without unit for the number of words."""
+    shared = rows.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches):
+        found: set[tuple[str, int]] = set()
+        total = 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], names=["unit", "context"])
+
+        for batch in batches:
+            for t in batch.column("text"):
+                n, own = contexts_of(t.as_py() or "")
+                total += n
+                found |= own if shared.value is None else {x for x in own if x[0] in shared.value}
+                if len(found) >= PAIRS_AT_ONCE:
+                    yield out()
+                    found = set()
+        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["unit", "context"])
+
+    each = rows.select("text").mapInArrow(run, "unit string, context long")
+    pairs = each.filter("unit <> ''").distinct().groupBy("unit").agg(F.count("*").alias("n"))
+    return pairs.unionByName(each.filter("unit is null").groupBy("unit").agg(F.sum("context").alias("n")))
+
+
+def learn_lexicon(rows: DataFrame, most: int = 400) -> dict[str, float]:
+    """Units and their log odds in toxic texts, in units of its error, from rows of (text, label).
+
+    What counts is in how many different contexts a unit stands, so that copied passages don't make words toxic. Spark counts them; of
+    the units of the (bounded) sample those with 5 toxic contexts or more come to the driver.
     """
-    split = [([plain(w) for w in text.split()], label) for text, label in rows]
-    total = [1, 1]
-    for words, label in split:
-        total[label] += len(words)
-    seen: dict[str, set] = {}
-    for words, label in split:
-        if label:
-            for before, w in zip(["", *words], words, strict=False):
-                for u in units(w):
-                    seen.setdefault(u, set()).add(before)
-    seen = {u: c for u, c in seen.items() if len(c) >= 5}
-    rest: dict[str, set] = {}
-    of: dict[str, list[str]] = {}
-    for words, label in split:
-        if not label:
-            for before, w in zip(["", *words], words, strict=False):
-                own = of.get(w)
-                if own is None:
-                    own = of[w] = [u for u in units(w) if u in seen]
-                for u in own:
-                    rest.setdefault(u, set()).add(before)
+    bad = {r.unit: r.n for r in contexts(rows.filter("label = 1")).filter("n >= 5 or unit is null").collect()}
+    total = [1, 1 + bad.pop(None, 0)]
+    rest = {r.unit: r.n for r in contexts(rows.filter("label = 0"), set(bad)).collect()}
+    total[0] += rest.pop(None, 0)
     found = {}
-    for u, c in seen.items():
-        a, b = len(c) + 0.5, len(rest.get(u, ())) + 0.5
+    for u, c in bad.items():
+        a, b = c + 0.5, rest.get(u, 0) + 0.5
         odds = math.log(a / total[1]) - math.log(b / total[0])
         z = odds / math.sqrt(1 / a + 1 / b)
-        if u and odds > 2 and z > 3.5:
+        if odds > 2 and z > 3.5:
             found[u] = z
     return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
 
@@ -179,8 +200,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
             rows = [features(t.as_py() or "", marks, strong) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, pa.list_(pa.float64()))], names=[*others, "x"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text_col)
-    return docs.mapInArrow(run, f"{kinds}x array<double>")
+    return docs.mapInArrow(run, f"{ddl(docs, text_col)}, x array<double>")
 
 
 def score(
@@ -197,11 +217,15 @@ def score(
     if not 0 < share < 1:
         return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
     small = spark.createDataFrame(list(ids.items()), f"doc_id {dict(docs.dtypes)[id_col]}, label int")
-    taught = stored(rows.filter(~F.col("held_out")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), "toxic-sample")
-    lexicon = learn_lexicon([(r.text or "", r.label) for r in taught.select("text", "label").toLocalIterator()])
+    labelled, seen = counted(rows.filter(~F.col("held_out")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), "toxic-labelled", n=F.count(F.lit(1)))
+    taught = bounded_sample(labelled, "doc_id", sample, seen["n"])
+    place = Window.orderBy(F.xxhash64("doc_id", F.lit("order")), F.xxhash64("text"))
+    sized = taught.select("doc_id", "text", "label", F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(place).alias("chars"))
+    taught = stored(sized.filter(F.col("chars") <= SAMPLE_CHARS).drop("chars").repartition(8), "toxic-sample")
+    lexicon = learn_lexicon(taught)
     vector = lambda df: df.withColumn("features", array_to_vector("x"))
     data = vector(with_features(taught, lexicon)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)))
-    data = stored(data.select("features", "label", "part").coalesce(4), "toxic-train").cache()
+    data = stored(data.select("features", "label", "part").coalesce(4), "toxic-train")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=7, featuresCol="features", labelCol="label", checkpointInterval=-1)
     model = trees.fit(data.filter("part > 0"))
     margin = VectorAssembler(inputCols=["margin"], outputCol="at")
@@ -216,5 +240,4 @@ def score(
     scored = iso.transform(raw(vector(with_features(rows, lexicon))).drop("prediction", "probability"))
     # The margin, squeezed, orders what the steps of the isotonic map leave equal.
     fine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * 0.999 + 0.001 / (1 + F.exp(-F.col("margin")))))
-    data.unpersist()
     return scored.select("doc_id", "held_out", fine.alias("score"), (fine >= threshold).cast("int").alias("predicted"))
