@@ -92,17 +92,72 @@ def test_checker_output(spark, output, status):
 
 
 def test_text(spark):
-    assert one(spark, X.counterexample(F.lit("a\nb is false\nc\nd"), 2)) == "b is false\nc" and one(spark, X.counterexample(F.lit("a"))) is None
-    assert one(spark, X.repair_prompt(F.lit("s"), F.lit("c"), F.lit("t" * 1600))).endswith("t\n[cut]")
-    flags = [F.lit(b) for b in (True, True, True, False, True, False)]
-    assert one(spark, X.outcome(*flags)) == "translate_error"
-    assert one(spark, X.without_comments(F.lit(None).cast("string"))) is None and one(spark, X.ticks(F.lit("")) ) is None
+    report = "a\n-- specification p is false\nc\nd"
+    assert one(spark, X.counterexample(F.lit(report), 2)) == "-- specification p is false\nc" and one(spark, X.counterexample(F.lit("b is false"))) == ""
+    assert one(spark, X.checker_status(F.lit(report), F.lit(True))) == "unknown"
+    true = "-- specification p is true\n"
+    assert [one(spark, X.joint_status(F.lit(t), F.lit(2))) for t in (true * 2, true, true + report)] == ["pass", "error", "fail"]
+    assert one(spark, X.shown_trace(F.lit(" " + "t" * 1600))) == "t" * 1500 + "\n... (trace truncated)"
+    parts = [F.lit(x) for x in ("ask", "code", "P1", "never", "trace", "other")]
+    prompts = {k: one(spark, X.repair_prompt(k, *parts)) for k in X.FEEDBACK}
+    assert "trace" in prompts["full"] and "other" in prompts["shuffle"] and "P1 (never)" in prompts["proponly"] and "P1" not in prompts["erroronly"]
+    head = prompts["nocex"].index("Return")
+    assert all(p[:head] == prompts["nocex"][:head] for p in prompts.values())
+    statuses = lambda *s: F.array(*map(F.lit, s))
+    yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    cases = [(no, no, yes, ("pass",), "parse_error"), (yes, no, yes, ("pass",), "compile_error"), (yes, none, no, ("pass",), "verify_unavailable"), (yes, none, yes, ("pass", "error"), "translate_error"),
+             (yes, yes, yes, ("pass", "pass"), "verified"), (yes, yes, yes, ("pass", "fail"), "unsafe"), (yes, yes, yes, ("unknown",), "unknown")]
+    for parsed, compiled, available, own, want in cases:
+        assert one(spark, X.outcome(parsed, compiled, available, statuses(*own))) == want
+    assert one(spark, X.without_comments(F.lit(None).cast("string"))) is None and one(spark, X.ticks(F.lit(""))) is None
+
+
+def test_programs_of_replies(spark):
+    cases = {"```st\nPROGRAM a\nEND_PROGRAM\n``` x": "PROGRAM a\nEND_PROGRAM", "```\n``` PROGRAM a END_PROGRAM": "", "no. program a end_program yes": "program a end_program", "  none ": "none",
+             "```st\nq := 1;\n```\nPROGRAM b END_PROGRAM": "q := 1;"}
+    for reply, want in cases.items():
+        assert one(spark, X.program_of(F.lit(reply))) == want, reply
+
+
+def test_durations(spark):
+    cases = {"T#3s": 3, "t#1m30s": 90, "T#500ms": 0, "T#1500ms": 2, "T#2500ms": 2, "T#1d": 86400, "T#1.5s": 2, "T#2_000ms": 2, "T#1h 2m": 3720, "TIME#1h": 3600, "3s": None}
+    for literal, want in cases.items():
+        assert one(spark, X.ticks(F.lit(literal))) == want, literal
+
+
+def test_faults_of_blocks(spark):
+    code = "PROGRAM a VAR_INPUT x END_VAR FUNCTION_BLOCK b IF c THEN (* IF *) REPEAT END_PROGRAM // END_IF"
+    assert one(spark, X.block_faults(F.lit(code))) == "unbalanced FUNCTION_BLOCK/END_FUNCTION_BLOCK: 1 vs 0; unbalanced IF/END_IF: 1 vs 0"
+    assert one(spark, X.balanced(F.lit("VAR_EXTERNAL x"))) and not one(spark, X.balanced(F.lit("VAR_TEMP x")))
+
+
+def test_one_second(spark):
+    cases = {"PT := T#1s": (True, True), "t#1s500ms": (True, False), "T#10s": (False, False), "T#001 s;": (False, True), "T#1s30": (True, False)}
+    for code, want in cases.items():
+        assert (one(spark, X.mentions_one_second(F.lit(code))), one(spark, X.has_one_second(F.lit(code)))) == want, code
+    less, n = X.presets_less_one(F.lit("t(PT := T#3s); u(pt:=T#0s, PT := T#x)"))
+    assert one(spark, less) == "t(PT := T#2s); u(pt:=T#0s, PT := T#x)" and one(spark, n) == 2
+
+
+def test_prompt_of_a_task(spark):
+    row = spark.createDataFrame([("spec", [("a", "BOOL", "input", None, "on"), ("n", "INT", "output", [0, 5], "count")])], "spec string, vars array<struct<name:string,type:string,direction:string,range:array<int>,description:string>>")
+    text = row.select(X.task_prompt(F.col("spec"), F.col("vars"), F.array(F.lit("be brief")))).first()[0]
+    assert "  - a : BOOL [input] - on\n  - n : INT [output, range [0, 5]] - count\n" in text and text.endswith("RULES:\n- be brief")
+
+
+def test_grids(spark):
+    from traceloom.operators import grids
+
+    rows = {r.id: r for r in grids.grid(spark, grids.DEFAULT).unionByName(grids.grid(spark, grids.HARD)).collect()}
+    assert len(rows) == 208 and sum(r.family in grids.DEFAULT for r in rows.values()) == 158
+    assert rows["GEN_mguard_2_Fan"].formulas == ["G(!G1 -> !Fan)", "G(!G2 -> !Fan)", "G(StopPB -> !Fan)"] and rows["GEN_mguard_3_Fan"].difficulty == "medium"
+    assert rows["GEN_chain_3e2g_Hoist"].formulas[3] == "G(!G1 -> !Hoist)" and rows["GEN_excl_Heat_Cool"].formulas[0] == "G(!(Heat & Cool))"
 
 
 def test_mutants_of_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "x := TRUE;")], "id int, code string")
     got = sorted((r.id, r.rule, r.offset, r.mutant) for r in mutation.mutants(rows).collect())
-    assert got == [(3, "bool_flip", 5, "x := FALSE;"), (3, "drop_statement", 0, "(*x := TRUE;*)")]
+    assert got == [(3, "bool_flip", 5, "x := FALSE;"), (3, "drop_statement", 0, "(* mut *)")]
     scored = spark.createDataFrame([("t", True, True, False), ("t", True, False, True), ("t", False, False, False), ("u", True, False, False)], "task string, compiles boolean, kills_a boolean, kills_b boolean")
     assert {r[0]: tuple(r)[1:] for r in mutation.verdicts(scored, "task").collect()} == {"t": (2, 1, 1, 1, 0), "u": (1, 0, 0, 0, 1), None: (3, 1, 1, 1, 1)}
 

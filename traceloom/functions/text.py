@@ -1,12 +1,25 @@
-"""Text functions for programs, formulas and checker output, all of them built-in expressions."""
+"""Text functions for programs, formulas, prompts and checker output, all of them built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Block keywords and what ends them.
-BLOCKS = {"PROGRAM": "END_PROGRAM", "IF": "END_IF", "CASE": "END_CASE", "FOR": "END_FOR", "WHILE": "END_WHILE", "REPEAT": "END_REPEAT"}
+# Block keywords in the order in which faults are listed, and the suffixes that VAR may carry.
+BLOCKS = ("PROGRAM", "FUNCTION_BLOCK", "VAR", "IF", "CASE", "FOR", "WHILE")
+VAR_SUFFIXES = ("_INPUT", "_OUTPUT", "_IN_OUT", "_GLOBAL", "_TEMP")
+# Seconds in a unit of time.
+UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0}
+# A fence's info string, the operators of branching time, how operators of formulas are spelt, and what a cut trace ends in.
+FENCE_INFO = r"[A-Za-z0-9_+\-]*"
+BRANCHING = ("AG", "EF", "AX", "EX", "AF", "EG", "A[", "E[")
+SPELLINGS = ((" AND ", " & "), (" OR ", " | "), (" NOT ", " !"), ("<>", "!="))
+CUT_MARK = "\n... (trace truncated)"
+BLANKS = " \t\r\n\f\x0b"
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
 
 
 def without_comments(code: Column) -> Column:
@@ -15,29 +28,76 @@ def without_comments(code: Column) -> Column:
 
 
 def program_of(reply: Column) -> Column:
-    """The program in a reply: of its first fenced block, or else of the whole text, PROGRAM to END_PROGRAM, or else all of it, trimmed."""
-    fenced = F.regexp_extract(reply, r"(?s)```[A-Za-z0-9_+-]*[ \t]*\n(.*?)```", 1)
-    body = F.when(fenced == "", reply).otherwise(fenced)
-    span = F.regexp_extract(body, r"(?is)\bPROGRAM\b.*?\bEND_PROGRAM\b", 0)
-    return F.trim(F.when(span == "", body).otherwise(span), F.lit(" \t\r\n"))
+    """The program in a reply: of its first fenced block (even if that is empty), or else of the whole text, from PROGRAM to END_PROGRAM,
+    or else all of it, trimmed."""
+    block = rf"(?s)```{FENCE_INFO}\s*\n(.*?)```"
+    body = F.when(reply.rlike(block), F.regexp_extract(reply, block, 1)).otherwise(reply)
+    span = F.regexp_extract(body, r"(?is)PROGRAM\b.*?\bEND_PROGRAM", 0)
+    return trimmed(F.when(span == "", body).otherwise(span))
 
 
-def balanced(code: Column) -> Column:
-    """Whether every kind of block is opened as often as it is closed, comments aside; VAR may carry a suffix, as in VAR_INPUT."""
+def block_faults(code: Column) -> Column:
+    """What is opened more or less often than closed, comments aside, as ``unbalanced IF/END_IF: 2 vs 1``, joined by ``; ``."""
     plain = F.upper(without_comments(code))
-    ok = F.regexp_count(plain, F.lit(r"\bVAR(?:_[A-Z]+)?\b")) == F.regexp_count(plain, F.lit(r"\bEND_VAR\b"))
-    for begin, end in BLOCKS.items():
-        ok = ok & (F.regexp_count(plain, F.lit(rf"\b{begin}\b")) == F.regexp_count(plain, F.lit(rf"\b{end}\b")))
-    return ok
+
+    def fault(name: str) -> Column:
+        suffix = f"(?:{'|'.join(VAR_SUFFIXES)})?" if name == "VAR" else ""
+        opened, closed = F.regexp_count(plain, F.lit(rf"\b{name}{suffix}\b")), F.regexp_count(plain, F.lit(rf"\bEND_{name}\b"))
+        return F.when(opened != closed, F.concat(F.lit(f"unbalanced {name}/END_{name}: "), opened, F.lit(" vs "), closed))
+
+    return F.when(code.isNotNull(), F.array_join(F.array_compact(F.array(*map(fault, BLOCKS))), "; "))
+
+
+def balanced(code: Column) -> Column:
+    return block_faults(code) == ""
 
 
 def ticks(literal: Column) -> Column:
-    """A duration such as T#1m30s in whole seconds, halves to even; null if it isn't one."""
-    parts = F.regexp_extract_all(F.lower(literal), F.lit(r"(\d+(?:ms|h|m|s))"), F.lit(1))
-    unit = lambda p: F.regexp_extract(p, r"[a-z]+", 0)
-    ms = lambda p: F.regexp_extract(p, r"\d+", 0).cast("long") * F.when(unit(p) == "ms", 1).when(unit(p) == "s", 1000).when(unit(p) == "m", 60_000).otherwise(3_600_000)
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + ms(p))
-    return F.when(literal.rlike(r"(?i)^T(?:IME)?#(?:\d+(?:ms|h|m|s))+$"), F.bround((total / 1000).cast("decimal(20,3)")).cast("long"))
+    """A duration such as T#1m30s, T#1.5s or T#1_000ms in whole seconds, halves to even; null if it doesn't begin as one."""
+    body = F.lower(F.replace(F.regexp_replace(literal, "^[^#]*#", ""), F.lit("_")))
+    parts = F.regexp_extract_all(body, F.lit(r"([0-9]*\.?[0-9]+\s*(?:ms|s|m|h|d))"), F.lit(1))
+    size = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    seconds = lambda p: F.regexp_extract(p, r"[0-9.]+", 0).cast("double") * F.element_at(size, F.regexp_extract(p, "[a-z]+", 0))
+    return F.when(literal.rlike("(?i)^T(?:IME)?#"), F.bround(F.aggregate(parts, F.lit(0.0), lambda a, p: a + seconds(p))).cast("long"))
+
+
+def mentions_one_second(code: Column) -> Column:
+    """The loose detector: ``T#1s`` in any case, also as the beginning of a longer literal."""
+    return code.rlike("(?i)t#1s")
+
+
+def has_one_second(code: Column) -> Column:
+    """The strict detector: a literal of one second and no more, with zeros in front and blanks inside allowed."""
+    return code.rlike(r"(?i)T#0*1\s*s(?![0-9a-z])")
+
+
+def presets_less_one(code: Column) -> tuple[Column, Column]:
+    """Each timer preset ``PT := T#Ns`` with N less one (0 at least), and how many there are."""
+    preset = r"(?i)(PT\s*:=\s*)T#(\d+)s"
+    heads, numbers = F.regexp_extract_all(code, F.lit(preset), F.lit(1)), F.regexp_extract_all(code, F.lit(preset), F.lit(2))
+    less = F.transform(numbers, lambda n: F.greatest(n.cast("decimal(38,0)") - 1, F.lit(0)).cast("string"))
+    new = F.zip_with(heads, less, lambda h, n: F.concat(h, F.lit("T#"), n, F.lit("s")))
+    around = F.split(code, preset, -1)
+    return F.array_join(F.flatten(F.zip_with(around, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""), F.size(numbers)
+
+
+def program_name(code: Column) -> Column:
+    found = F.regexp_extract(code, r"\bPROGRAM\s+(\w+)", 1)
+    return F.when(found == "", "prog").otherwise(found)
+
+
+def header(code: Column) -> Column:
+    """The declarations, through the last END_VAR and a line end; without any, the line of PROGRAM; without that, the first character."""
+    last = F.regexp_extract(code, r"(?s)^.*\bEND_VAR\b", 0)
+    line = F.regexp_extract(code, r"(?s)^(.*?\bPROGRAM\s+\w+[^\n]*\n)", 1)
+    return F.when(last != "", F.concat(last, F.lit("\n"))).when(line != "", line).otherwise(F.substring(code, 1, 1))
+
+
+def idle_program(code: Column, outputs: Column, mode: str) -> Column:
+    """The header of a program with a body that holds all outputs (name, type, low, high) ``off`` or ``on``, or none (``empty``)."""
+    value = lambda v: F.when(v["type"] == "BOOL", "FALSE" if mode == "off" else "TRUE").otherwise((F.coalesce(v["low"], F.lit(0)) if mode == "off" else F.coalesce(v["high"], F.lit(1))).cast("string"))
+    lines = F.lit("") if mode == "empty" else F.array_join(F.transform(outputs, lambda v: F.concat(F.lit("    "), v["name"], F.lit(" := "), value(v), F.lit(";"))), "\n")
+    return F.concat(header(code), F.lit("\n"), lines, F.lit("\n\nEND_PROGRAM\n"))
 
 
 def identifiers(formula: Column) -> Column:
@@ -49,14 +109,44 @@ def unknown_names(formula: Column, known: Column) -> Column:
     return F.array_except(identifiers(formula), F.concat(known, F.array(*map(F.lit, ("G", "X", "F", "U", "TRUE", "FALSE", "AND", "OR", "NOT")))))
 
 
+def normalised(formula: Column) -> Column:
+    """Operators as signs."""
+    for word, sign in SPELLINGS:
+        formula = F.replace(formula, F.lit(word), F.lit(sign))
+    return formula
+
+
+def is_branching(formula: Column) -> Column:
+    """Whether an operator of branching time is in it, by its letters alone: a name such as FLAG counts too."""
+    out = F.lit(False)
+    for name in BRANCHING:
+        out = out | F.contains(formula, F.lit(name))
+    return out
+
+
 def without_globally(formula: Column) -> Column:
-    return F.regexp_replace(F.trim(formula), r"(?s)^G\s*\((.*)\)$", "$1")
+    """What stands in ``G(...)``, if that is the whole formula."""
+    plain = trimmed(formula)
+    return F.when(plain.startswith("G(") & plain.endswith(")"), plain.substr(F.lit(3), F.length(plain) - 3)).otherwise(plain)
 
 
-def formula_form(formula: Column) -> Column:
-    """The form of an invariant; the first that fits."""
-    body = without_globally(formula)
-    return F.when(body.rlike(r"\bX\s*\("), "next").when(body.rlike("->"), "implication").when(body.rlike("[<>]"), "bound").when(body.rlike("!"), "exclusion").otherwise("other")
+def formula_form(body: Column, outputs: Column, forces: Column) -> Column:
+    """The form of an invariant, the first that fits. outputs: names of outputs; forces: whether it fails with all outputs off."""
+    own = F.array_intersect(identifiers(body), outputs)
+    negated = F.exists(outputs, lambda o: F.rlike(body, F.concat(F.lit(r"!\s*"), o)))
+    return (
+        F.when(F.size(own) == 0, "input-only")
+        .when(F.contains(body, F.lit("&")) & F.contains(body, F.lit("!")) & ~F.contains(body, F.lit("->")), "mutual-exclusion")
+        .when(forces, "positive-obligation")
+        .when(negated & F.contains(body, F.lit("->")), "guard->!out")
+        .otherwise("other")
+    )
+
+
+def probes(low: Column, high: Column) -> Column:
+    """Values at which a range of whole numbers is tried: its ends, its middle and a few fixed ones, in order."""
+    values = F.array(low, high, F.floor((low + high) / 2).cast("int"), F.least(high, F.lit(10)), F.least(high, F.lit(90)), F.greatest(low, F.lit(3)))
+    return F.array_sort(F.array_distinct(F.filter(values, lambda v: (v >= low) & (v <= high))))
 
 
 def short_digest(code: Column) -> Column:
@@ -67,26 +157,68 @@ def seed_of(text: Column) -> Column:
     return F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def outcome(parsed: Column, compiled: Column, available: Column, translated: Column, verified: Column, unsafe: Column) -> Column:
-    """Outcome of a trial; what fails first decides."""
+def outcome(parsed: Column, compiled: Column, available: Column, statuses: Column) -> Column:
+    """Outcome of a trial; what fails first decides. compiled: null where no compiler was there; statuses: of its properties."""
+    held = F.coalesce(F.size(statuses) > 0, F.lit(False)) & F.forall(statuses, lambda s: s == "pass")
     return (
-        F.when(~parsed, "parse_error").when(~compiled, "compile_error").when(~available, "verify_unavailable").when(~translated, "translate_error")
-        .when(verified, "verified").when(unsafe, "unsafe").otherwise("unknown")
+        F.when(~parsed, "parse_error").when(~compiled, "compile_error").when(~F.coalesce(available, F.lit(False)), "verify_unavailable")
+        .when(F.array_contains(statuses, "error"), "translate_error").when(held, "verified").when(F.array_contains(statuses, "fail"), "unsafe").otherwise("unknown")
     )
 
 
-def checker_status(output: Column) -> Column:
-    """fail if a specification is reported false, else pass if one is true, else error."""
-    return F.when(output.rlike(r"(?i)specification.*is\s+false"), "fail").when(output.rlike(r"(?i)specification.*is\s+true"), "pass").otherwise("error")
+FALSE_LINE, TRUE_LINE = "(?i)specification .* is false", "(?i)specification .* is true"
+
+
+def checker_status(output: Column, timed_out: Column | None = None) -> Column:
+    """unknown if it ran out of time; fail if a specification is reported false, else pass if one is true, else error."""
+    status = F.when(output.rlike(FALSE_LINE), "fail").when(output.rlike(TRUE_LINE), "pass").otherwise("error")
+    return status if timed_out is None else F.when(timed_out, "unknown").otherwise(status)
+
+
+def joint_status(output: Column, n_properties: Column) -> Column:
+    """Of a run over several specifications: fail if any is false, pass if all are reported true, else error."""
+    n_true = F.regexp_count(output, F.lit(TRUE_LINE))
+    return F.when(F.regexp_count(output, F.lit(FALSE_LINE)) > 0, "fail").when((n_true == n_properties) & (n_properties > 0), "pass").otherwise("error")
 
 
 def counterexample(output: Column, lines: int = 60) -> Column:
-    """At most that many lines from the first one that reports a failure; null if none does."""
-    split = F.split(output, "\n")
-    at = F.array_position(F.transform(split, lambda s: s.rlike(r"(?i)is\s+false")), True)
-    return F.when(at > 0, F.array_join(F.slice(split, at.cast("int"), lines), "\n"))
+    """At most that many lines from the first one that reports a specification false, trimmed; empty if none does."""
+    split = F.split(output, "\r?\n", -1)
+    at = F.array_position(F.transform(split, lambda s: s.rlike(FALSE_LINE)), True)
+    return F.when(at > 0, trimmed(F.array_join(F.slice(split, F.greatest(at.cast("int"), F.lit(1)), lines), "\n"))).when(output.isNotNull(), "")
+
+
+def task_prompt(spec: Column, interface: Column, rules: Column) -> Column:
+    """What is asked for, the interface, a line for each variable (with its range if it has one), and the rules, a line each."""
+    bounds = lambda v: F.when(v["range"].isNotNull(), F.concat(F.lit(", range ["), F.array_join(v["range"].cast("array<string>"), ", "), F.lit("]"))).otherwise("")
+    line = lambda v: F.concat(F.lit("  - "), v["name"], F.lit(" : "), v["type"], F.lit(" ["), v["direction"], bounds(v), F.lit("] - "), v["description"])
+    return F.concat_ws(
+        "\n", F.lit("REQUIREMENT:"), spec, F.lit(""), F.lit("INTERFACE (use exactly these names and directions):"), F.array_join(F.transform(interface, line), "\n"), F.lit(""),
+        F.lit("RULES:"), F.array_join(F.transform(rules, lambda r: F.concat(F.lit("- "), r)), "\n"),
+    )
+
+
+def constrained(prompt: Column, block: str) -> Column:
+    return F.concat(prompt, F.lit(block))
+
+
+def shown_trace(trace: Column, limit: int = 1500) -> Column:
+    """A trace, trimmed, and cut with a mark if it is longer than the limit; null counts as empty."""
+    plain = trimmed(F.coalesce(trace, F.lit("")))
+    return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit), F.lit(CUT_MARK))).otherwise(plain)
+
+
+FEEDBACK = ("full", "nocex", "proponly", "erroronly", "shuffle")
 
 
-def repair_prompt(spec: Column, code: Column, trace: Column, limit: int = 1500) -> Column:
-    shown = F.when(F.length(trace) > limit, F.concat(F.substring(trace, 1, limit), F.lit("\n[cut]"))).otherwise(trace)
-    return F.concat_ws("\n\n", spec, code, F.coalesce(shown, F.lit("no counterexample")))
+def repair_prompt(kind: str, prompt: Column, code: Column, property_id: Column, meaning: Column, trace: Column, other_trace: Column | None = None) -> Column:
+    """A prompt with a failing attempt and feedback of a kind: the trace (full, or shuffle: that of another item), nothing (nocex), the
+    property alone (proponly) or that there was an error (erroronly). All kinds differ in the feedback only."""
+    head = F.concat(prompt, F.lit("\n\n---\nThis attempt failed verification:\n\n"), code, F.lit("\n\n"))
+    tail = F.lit("Return a corrected program that satisfies all safety properties, and nothing else.")
+    broken = F.concat(F.lit("It breaks safety property "), property_id, F.lit(" ("), meaning, F.lit(")"))
+    if kind in ("full", "shuffle"):
+        own = trace if kind == "full" or other_trace is None else F.coalesce(F.nullif(other_trace, F.lit("")), trace)
+        return F.concat(head, broken, F.lit(" with this counterexample:\n\n"), shown_trace(own), F.lit("\n\n"), tail)
+    feedback = {"nocex": F.lit(""), "proponly": F.concat(broken, F.lit(". ")), "erroronly": F.lit("The checker reported a violation, without a trace. ")}
+    return F.concat(head, feedback[kind], tail)

@@ -72,10 +72,8 @@ def verdict_metric_cube(spark, sf_dir):
     """Every metric at every k, one row each."""
     per = counts(line_trials(spark, sf_dir), "task", "tier")
     long = per.unpivot(["task", "n"], ["c_compiles", "c_invariant", "c_scenario", "c_valid"], "metric", "c")
-    at = [long.withColumns({"k": F.lit(k), "p": pass_at_k(F.col("n"), F.col("c"), k)}) for k in KS]
-    out = at[0]
-    for more in at[1:]:
-        out = out.unionByName(more)
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), pass_at_k(F.col("n"), F.col("c"), k).alias("p")) for k in KS)))
+    out = long.select("metric", at.alias("at")).select("metric", "at.*")
     return out.groupBy("metric", "k").agg(F.round(F.avg("p"), 9).alias("mean"))
 
 
@@ -121,14 +119,6 @@ def verdict_rank(spark, sf_dir):
     return ranks(rows, "rank_all").join(ranks(rows.filter("task > 10"), "rank_masked"), "tier").withColumns({"leader": F.col("rank_all") == 1, "same": F.col("rank_all") == F.col("rank_masked")})
 
 
-def verdict_leave_one_out(spark, sf_dir):
-    """Scenarios (line numbers) that alone make a supplier fail, all its lines of a number taken together. Kept with its SQL; verdict_leave_one_out_by_order takes each order as a sample."""
-    per = line_trials(spark, sf_dir).groupBy("task", "seed").agg(F.bool_and(F.col("scenario") | F.col("compiles")).alias("ok"))
-    fails = per.groupBy("task").agg(F.count_if(~F.col("ok")).alias("n_fail"), F.min(F.when(~F.col("ok"), F.col("seed"))).alias("seed"))
-    flips = fails.filter("n_fail = 1").groupBy("seed").agg(F.count("*").alias("flips"))
-    return per.select("seed").distinct().join(flips, "seed", "left").select("seed", F.coalesce("flips", F.lit(0)).alias("flips"))
-
-
 def leave_one_out(verdicts):
     """Of verdicts (sample, scenario, ok): for each scenario, the samples that fail it alone, which leaving it out flips; and total, max, median and mean
     of these flips over all scenarios. Samples of a single scenario have nothing to leave out."""
@@ -140,20 +130,20 @@ def leave_one_out(verdicts):
     return each.select("scenario", "flips", F.sum("flips").over(w).alias("total"), F.max("flips").over(w).alias("most"), F.median("flips").over(w).alias("median"), F.round(F.avg("flips").over(w), 9).alias("mean"))
 
 
+def verdict_leave_one_out(spark, sf_dir):
+    """Orders by how many of their lines fail: none, one, which leaving it out would flip, or more; by the number of their lines. Orders of one line are out."""
+    ok = (F.col("l_discount") <= 0.05) | (F.col("l_returnflag") != "R")
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.bool_and(ok).alias("ok")).groupBy("l_orderkey").agg(F.count("*").alias("n_scenarios"), F.count_if(~F.col("ok")).alias("bad"))
+    kinds = (("pass_all", F.col("bad") == 0), ("fail_1", F.col("bad") == 1), ("fail_2plus", F.col("bad") > 1))
+    return per.filter("n_scenarios >= 2").groupBy("n_scenarios").agg(F.count("*").alias("samples"), *(F.count_if(c).alias(k) for k, c in kinds))
+
+
 def verdict_leave_one_out_by_order(spark, sf_dir):
     """Leave-one-out with orders as samples and line numbers as scenarios."""
     ok = (F.col("l_discount") <= 0.05) | (F.col("l_returnflag") != "R")
     return leave_one_out(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("scenario"), ok.alias("ok")))
 
 
-def verdict_best_of_k(spark, sf_dir):
-    """Calls until the first success in order of seed, failures first, else all; by tier. Kept with its SQL; verdict_best_of_k_in_order doesn't look at the outcome."""
-    w = Window.partitionBy("task").orderBy("seed", "valid")
-    tried = line_trials(spark, sf_dir).select("task", "tier", "valid", F.row_number().over(w).alias("i")).filter("i <= 10")
-    per = tried.groupBy("task", "tier").agg(F.min(F.when(F.col("valid"), F.col("i"))).alias("first"), F.count("*").alias("k"))
-    return per.groupBy("tier").agg(F.round(F.avg(F.col("first").isNotNull().cast("int")), 9).alias("success"), F.sum(F.coalesce("first", "k").cast("long")).alias("calls"))
-
-
 def in_order(spark, sf_dir):
     """Order lines as trials of suppliers, in an order that doesn't look at the outcome; order and line alone don't tell all lines apart."""
     lines = table(spark, sf_dir, "lineitem")
@@ -172,6 +162,13 @@ def best_of(tried, k: int):
     )
 
 
+def verdict_best_of_k(spark, sf_dir):
+    """For each task the calls until its first success among ten trials in the order in which they came, and whether there was one."""
+    first = F.min(F.when(F.col("valid"), F.col("i")))
+    per = in_order(spark, sf_dir).filter("i <= 10").groupBy("task", "tier").agg(first.alias("first"), F.count("*").alias("k"))
+    return per.select("task", "tier", F.coalesce("first", "k").cast("long").alias("calls"), F.col("first").isNotNull().alias("won"))
+
+
 def verdict_best_of_k_in_order(spark, sf_dir):
     """Best of ten with the trials in the order in which they came."""
     return best_of(in_order(spark, sf_dir), 10)
@@ -205,7 +202,7 @@ def verdict_rewards(spark, sf_dir):
 def verdict_prompt_selection(spark, sf_dir):
     """Tasks whose reward varies, the most varied first, 64 at most."""
     r = trials(spark, sf_dir).select("task", reward(F.lit(True), F.col("compiles"), F.col("invariant").cast("int"), F.col("scenario").cast("int"), F.col("invariant"), "task").alias("r"))
-    per = r.groupBy("task").agg(F.round(F.avg("r"), 9).alias("mean"), F.round(F.stddev_pop("r"), 9).alias("sd"))
+    per = r.groupBy("task").agg(F.round(F.avg("r"), 9).alias("mean"), F.round(F.stddev_pop("r"), 9).alias("sd"), F.round(F.count_if(F.col("r") >= 0.999) / F.count("*"), 9).alias("verified"))
     return per.filter("sd >= 0.05").orderBy(F.desc("sd"), "task").limit(64)
 
 
@@ -217,30 +214,26 @@ def verdict_masked(spark, sf_dir):
     return per.groupBy("tier").agg(F.round(F.avg("p"), 9).alias("full"), F.count("*").alias("n_full")).join(kept, "tier", "left")
 
 
-def draws(spark, rounds: int, size: int):
-    """Portable draws, near permutations: the same index for all metrics of a round and place, which pairs them."""
-    b, j = F.col("b"), F.col("j")
-    return spark.range(rounds).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j")).select("b", F.pmod(F.pmod(b * 7919 + j * 104729 + 17, F.lit(1000003)), F.lit(size)).alias("at"))
+#: Rounds of the bootstraps: over tasks, over tasks and their trials, over tasks and seeds.
+ROUNDS, TRIAL_ROUNDS, CELL_ROUNDS = 20000, 500, 2000
 
 
-def verdict_bootstrap(spark, sf_dir):
-    """The same with portable draws and few rounds, to compare engines only: the draws are too regular for statistics, see verdict_bootstrap_resampled."""
-    rounds = 200
-    per = counts(trials(spark, sf_dir), "task", "tier").select(F.col("c_valid") / F.col("n"), F.col("c_invariant") / F.col("n"), "task").toDF("valid", "invariant", "task")
-    size = per.count()
-    per = per.withColumn("at", F.row_number().over(Window.orderBy("task")) - 1)
-    means = draws(spark, rounds, size).join(per, "at").groupBy("b").agg(F.avg("valid").alias("valid"), F.avg("invariant").alias("invariant"))
-    long = means.withColumn("difference", F.col("invariant") - F.col("valid")).unpivot(["b"], ["valid", "invariant", "difference"], "metric", "m")
-    s = F.array_sort(F.collect_list("m"))
-    return long.groupBy("metric").agg(F.round(F.avg("m"), 9).alias("mean"), F.round(F.element_at(s, int(rounds * 0.025) + 1), 9).alias("low"), F.round(F.element_at(s, min(int(rounds * 0.975) + 1, rounds)), 9).alias("high"))
+def hashed(salt: str, *parts):
+    """A whole number below 2^60 from the parts, alike in both engines; as good as random."""
+    word = F.md5(F.concat_ws(":", F.lit(salt), *parts).cast("binary"))
+    return F.conv(F.substring(word, 1, 15), 16, 10).cast("long")
 
 
 def hashed_draws(per, rounds: int):
     """per (with at from 0 and size) drawn anew with replacement: for each round b and place, a hash of both picks a row. All columns of a row come together."""
-    word = F.md5(F.concat_ws(":", F.lit("0"), F.col("b"), F.col("at")).cast("binary"))
-    pick = F.pmod(F.conv(F.substring(word, 1, 15), 16, 10).cast("long"), F.col("size"))
+    pick = F.pmod(hashed("0", F.col("b"), F.col("at")), F.col("size"))
     places = per.sparkSession.range(rounds).select(F.col("id").alias("b")).crossJoin(F.broadcast(per.select("at", "size")))
-    return places.select("b", pick.alias("at")).join(F.broadcast(per.drop("size")), "at")
+    return places.select("b", F.col("at").alias("place"), pick.alias("at")).join(F.broadcast(per.drop("size")), "at")
+
+
+def numbered(per, key: str):
+    """per with at, from 0 by the key, and size. Tasks are few, as a person wrote each: one task numbers them."""
+    return per.select("*", (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("size"))
 
 
 def intervals(means, rounds: int, *metrics: str):
@@ -251,23 +244,72 @@ def intervals(means, rounds: int, *metrics: str):
     return out.withColumn("excludes_0", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-#: Rounds of the bootstrap.
-ROUNDS = 20000
+def task_means(spark, sf_dir):
+    per = counts(trials(spark, sf_dir), "task", "tier")
+    return numbered(per.select("task", "n", *((F.col(f"c_{c}") / F.col("n")).alias(c) for c in ("compiles", "invariant", "scenario", "valid")), "c_valid"), "task")
+
+
+def verdict_bootstrap(spark, sf_dir):
+    """Intervals of macro means over tasks drawn with replacement, for each metric."""
+    names = ("compiles", "invariant", "scenario", "valid")
+    means = hashed_draws(task_means(spark, sf_dir).select("at", "size", *names), ROUNDS).groupBy("b").agg(*(F.avg(n).alias(n) for n in names))
+    return intervals(means, ROUNDS, *names)
+
+
+def verdict_bootstrap_pairs(spark, sf_dir):
+    """Intervals of the differences of each two metrics; the draws are shared, which pairs them."""
+    names = ("compiles", "invariant", "scenario", "valid")
+    means = hashed_draws(task_means(spark, sf_dir).select("at", "size", *names), ROUNDS).groupBy("b").agg(*(F.avg(n).alias(n) for n in names))
+    pairs = {f"{a} - {c}": F.col(a) - F.col(c) for i, a in enumerate(names) for c in names[i + 1 :]}
+    return intervals(means.select("b", *(c.alias(k) for k, c in pairs.items())), ROUNDS, *pairs)
+
+
+def verdict_bootstrap_trials(spark, sf_dir):
+    """Hierarchical: tasks are drawn, then for each draw its n trials anew, each a success with the task's share."""
+    drawn = hashed_draws(task_means(spark, sf_dir).select("at", "size", "n", "c_valid"), TRIAL_ROUNDS)
+    trial = drawn.select("b", "place", "n", "c_valid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    won = F.pmod(hashed("1", F.col("b"), F.col("place"), F.col("i")), F.col("n")) < F.col("c_valid")
+    per = trial.select("b", "place", "n", won.alias("won")).groupBy("b", "place", "n").agg((F.count_if("won") / F.col("n")).alias("p"))
+    return intervals(per.groupBy("b").agg(F.avg("p").alias("valid")), TRIAL_ROUNDS, "valid")
+
+
+def verdict_bootstrap_cells(spark, sf_dir):
+    """Hierarchical over tasks (suppliers) and seeds (line numbers): for each task that is drawn one of the seeds, anew; a cell without trials counts as 0."""
+    cells = line_trials(spark, sf_dir).groupBy("task", "seed").agg(F.avg(F.col("valid").cast("int")).alias("p"))
+    tasks = numbered(cells.select("task").distinct(), "task")
+    seeds = cells.select("seed").distinct().select("seed", (F.row_number().over(Window.orderBy("seed")) - 1).cast("long").alias("s"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n_seeds"))
+    drawn = hashed_draws(tasks, CELL_ROUNDS).crossJoin(F.broadcast(seeds.select("n_seeds").distinct())).withColumn("s", F.pmod(hashed("2", F.col("b"), F.col("place")), F.col("n_seeds"))).drop("n_seeds")
+    per = drawn.join(F.broadcast(seeds.select("seed", "s")), "s").join(cells, ["task", "seed"], "left")
+    return intervals(per.groupBy("b").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("valid")), CELL_ROUNDS, "valid")
 
 
 def verdict_bootstrap_resampled(spark, sf_dir):
-    """Percentile intervals of macro means over tasks drawn with replacement; draws are shared by both metrics, which pairs them."""
-    per = counts(trials(spark, sf_dir), "task", "tier").select("task", (F.col("c_valid") / F.col("n")).alias("valid"), (F.col("c_invariant") / F.col("n")).alias("invariant"))
-    per = per.select("valid", "invariant", (F.row_number().over(Window.orderBy("task")) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("size"))
-    means = hashed_draws(per, ROUNDS).groupBy("b").agg(F.avg("valid").alias("valid"), F.avg("invariant").alias("invariant"))
+    """Percentile intervals of two macro means and their difference over tasks drawn with replacement."""
+    means = hashed_draws(task_means(spark, sf_dir).select("at", "size", "valid", "invariant"), ROUNDS).groupBy("b").agg(F.avg("valid").alias("valid"), F.avg("invariant").alias("invariant"))
     return intervals(means.withColumn("difference", F.col("invariant") - F.col("valid")), ROUNDS, "valid", "invariant", "difference")
 
 
+def verdict_claims(spark, sf_dir):
+    """Whether claims hold on all tasks and on those not masked: who leads, whether each tier keeps its rank and the sign of its distance to the next."""
+    rows = line_trials(spark, sf_dir)
+
+    def side(part, name):
+        per = part.groupBy("tier").agg(F.round(F.avg(F.col("valid").cast("int")), 9).alias("v"))
+        w = Window.orderBy(F.desc("v"), "tier")
+        return per.select("tier", F.row_number().over(w).alias(f"rank_{name}"), F.round(F.col("v") - F.lead("v").over(Window.orderBy("tier")), 9).alias(f"gap_{name}"))
+
+    both = side(rows, "all").join(side(rows.filter("task % 4 <> 1"), "masked"), "tier")
+    return both.select("tier", "rank_all", "rank_masked", (F.col("rank_all") == F.col("rank_masked")).alias("same_rank"), (F.signum("gap_all") == F.signum("gap_masked")).alias("same_sign"), ((F.col("rank_all") == 1) & (F.col("rank_masked") == 1)).alias("leads"))
+
+
 T = """t AS (SELECT doc_id, lang || ':' || source AS task, lang AS tier, n_chars >= 200 AS compiles, n_chars >= 200 AND toxic = 0 AS invariant, quality = 1 AS scenario,
           n_chars >= 200 AND toxic = 0 AND quality = 1 AS valid FROM documents JOIN labels USING (doc_id))"""
 L = """t AS (SELECT l_suppkey AS task, r_name AS tier, l_linenumber AS seed, l_returnflag <> 'R' AS compiles, l_returnflag <> 'R' AND l_linestatus = 'F' AS invariant,
           l_discount <= CAST(0.05 AS DOUBLE) AS scenario, l_returnflag <> 'R' AND l_linestatus = 'F' AND l_discount <= CAST(0.05 AS DOUBLE) AS valid
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+O = f"""o AS (SELECT l_suppkey AS task, r_name AS tier, l_returnflag <> 'R' AND l_linestatus = 'F' AND l_discount <= CAST(0.05 AS DOUBLE) AS valid,
+            row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ARRIVAL)}) AS i
+            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 C = """c AS (SELECT task, tier, count(*) AS n, count(*) FILTER (compiles) AS c_compiles, count(*) FILTER (invariant) AS c_invariant, count(*) FILTER (scenario) AS c_scenario,
           count(*) FILTER (valid) AS c_valid FROM t GROUP BY 1, 2)"""
 
@@ -281,6 +323,11 @@ def sql_by(c):
     return f"WITH {L}, r AS (SELECT tier, seed, avg(CAST(valid AS INTEGER)) AS v FROM t GROUP BY 1, 2) {c}"
 
 
+HASH = "CAST('0x' || md5('{s}:' || {p})[1:15] AS BIGINT)"
+DRAWN = f"""{T}, {C}, p AS (SELECT n, c_valid, c_compiles / n AS compiles, c_invariant / n AS invariant, c_scenario / n AS scenario, c_valid / n AS valid, row_number() OVER (ORDER BY task) - 1 AS pos FROM c),
+        z AS (SELECT count(*) AS size FROM p), d AS (SELECT b, j, {HASH.format(s=0, p="b || ':' || j")} % size AS pos FROM z, range(ROUNDS) x(b), LATERAL (SELECT unnest(range(size)) AS j)),"""
+INTERVALS = """r AS (SELECT metric, m, row_number() OVER (PARTITION BY metric ORDER BY m) AS i FROM u),
+        s AS (SELECT metric, round(avg(m), 9) AS mean, round(max(m) FILTER (i = {low}), 9) AS low, round(max(m) FILTER (i = {high}), 9) AS high FROM r GROUP BY 1) SELECT *, low > 0 OR high < 0 AS excludes_0 FROM s"""
 R = """r AS (SELECT *, CASE WHEN NOT compiles THEN 0.1 ELSE 0.3 + 0.7 * CAST(invariant AS INTEGER) END AS dual,
                  CASE WHEN NOT compiles THEN 0.1 ELSE 0.2 + 0.4 * CAST(invariant AS INTEGER) + 0.4 * CAST(scenario AS INTEGER) END AS task_ FROM t),
        g AS (SELECT *, CASE WHEN NOT invariant THEN least(task_, 0.1) ELSE task_ END AS gated FROM r)"""
@@ -303,20 +350,16 @@ ORACLE_SQL = {
     "verdict_rank": f"""WITH {L}, a AS (SELECT tier, round(avg(CAST(valid AS INTEGER)), 9) AS v FROM t GROUP BY 1), b AS (SELECT tier, round(avg(CAST(valid AS INTEGER)), 9) AS v FROM t WHERE task > 10 GROUP BY 1),
         x AS (SELECT tier, CAST(row_number() OVER (ORDER BY v DESC, tier) AS INTEGER) AS rank_all FROM a), y AS (SELECT tier, CAST(row_number() OVER (ORDER BY v DESC, tier) AS INTEGER) AS rank_masked FROM b)
         SELECT tier, rank_all, rank_masked, rank_all = 1 AS leader, rank_all = rank_masked AS same FROM x JOIN y USING (tier)""",
-    "verdict_leave_one_out": f"""WITH {L}, p AS (SELECT task, seed, bool_and(scenario OR compiles) AS ok FROM t GROUP BY 1, 2),
-        f AS (SELECT task, min(seed) AS seed FROM p WHERE NOT ok GROUP BY 1 HAVING count(*) = 1)
-        SELECT seed, count(task) AS flips FROM (SELECT DISTINCT seed FROM p) LEFT JOIN f USING (seed) GROUP BY 1""",
+    "verdict_leave_one_out": """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS s, bool_and(l_discount <= CAST(0.05 AS DOUBLE) OR l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2),
+        o AS (SELECT k, count(*) AS n_scenarios, count(*) FILTER (NOT ok) AS bad FROM p GROUP BY 1 HAVING count(*) > 1)
+        SELECT n_scenarios, count(*) AS samples, count(*) FILTER (bad = 0) AS pass_all, count(*) FILTER (bad = 1) AS fail_1, count(*) FILTER (bad > 1) AS fail_2plus FROM o GROUP BY 1""",
     "verdict_leave_one_out_by_order": """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS scenario, bool_and(l_discount <= CAST(0.05 AS DOUBLE) OR l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2),
         x AS (SELECT a.scenario FROM p a WHERE NOT a.ok AND a.k IN (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (NOT ok) = 1)),
         f AS (SELECT s.scenario, count(x.scenario) AS flips FROM (SELECT DISTINCT scenario FROM p) s LEFT JOIN x ON s.scenario = x.scenario GROUP BY 1),
         a AS (SELECT CAST(sum(flips) AS BIGINT) AS total, max(flips) AS most, median(flips) AS median, round(avg(flips), 9) AS mean FROM f)
         SELECT * FROM f, a""",
-    "verdict_best_of_k": f"""WITH {L}, o AS (SELECT task, tier, valid, row_number() OVER (PARTITION BY task ORDER BY seed, valid) AS i FROM t),
-        p AS (SELECT task, tier, min(i) FILTER (valid) AS f, count(*) AS k FROM o WHERE i <= 10 GROUP BY 1, 2)
-        SELECT tier, round(avg(CAST(f IS NOT NULL AS INTEGER)), 9) AS success, CAST(sum(coalesce(f, k)) AS BIGINT) AS calls FROM p GROUP BY 1""",
-    "verdict_best_of_k_in_order": f"""WITH o AS (SELECT l_suppkey AS task, r_name AS tier, l_returnflag <> 'R' AND l_linestatus = 'F' AND l_discount <= CAST(0.05 AS DOUBLE) AS valid,
-            row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ARRIVAL)}) AS i
-            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    "verdict_best_of_k": f"""WITH {O} SELECT task, tier, CAST(coalesce(min(i) FILTER (valid), count(*)) AS BIGINT) AS calls, bool_or(valid) AS won FROM o WHERE i <= 10 GROUP BY 1, 2""",
+    "verdict_best_of_k_in_order": f"""WITH {O},
         p AS (SELECT task, tier, coalesce(min(i) FILTER (valid), least(count(*), 10)) AS calls, coalesce(bool_or(valid), false) AS won FROM o WHERE i <= 10 GROUP BY 1, 2)
         SELECT tier, count(*) AS tasks, round(avg(CAST(won AS INTEGER)), 9) AS success, CAST(sum(calls) AS BIGINT) AS calls, round(avg(calls), 9) AS mean_calls FROM p GROUP BY 1""",
     "verdict_inflation": f"""WITH {L}, a AS (SELECT tier, avg(CAST(invariant AS INTEGER)) AS lax, avg(CAST(valid AS INTEGER)) AS strict FROM t GROUP BY 1)
@@ -325,16 +368,25 @@ ORACLE_SQL = {
     "verdict_two_by_two": f"""WITH {L} SELECT tier, count(*) FILTER (NOT invariant) AS killed_a, count(*) FILTER (NOT scenario) AS killed_b, count(*) FILTER (NOT invariant OR NOT scenario) AS killed,
         count(*) FILTER (NOT invariant AND NOT scenario) AS both, count(*) FILTER (invariant AND scenario) AS survived FROM t GROUP BY 1""",
     "verdict_rewards": f"WITH {T}, {R} SELECT tier, round(avg(CAST(dual AS DOUBLE)), 9) AS dual, round(avg(CAST(task_ AS DOUBLE)), 9) AS task, round(avg(CAST(gated AS DOUBLE)), 9) AS gated, count(*) FILTER (gated >= 0.999) AS \"full\" FROM g GROUP BY 1",
-    "verdict_prompt_selection": f"""WITH {T}, {R}, p AS (SELECT task, round(avg(CAST(task_ AS DOUBLE)), 9) AS mean, round(stddev_pop(CAST(task_ AS DOUBLE)), 9) AS sd FROM g GROUP BY 1)
+    "verdict_prompt_selection": f"""WITH {T}, {R}, p AS (SELECT task, round(avg(CAST(task_ AS DOUBLE)), 9) AS mean, round(stddev_pop(CAST(task_ AS DOUBLE)), 9) AS sd, round(count(*) FILTER (task_ >= 0.999) / count(*), 9) AS verified FROM g GROUP BY 1)
         SELECT * FROM p WHERE sd >= 0.05 ORDER BY sd DESC, task LIMIT 64""",
     "verdict_masked": f"""WITH {L}, {C}, k AS (SELECT tier, round(avg(c_valid / n), 9) AS kept, count(*) AS n_kept FROM c WHERE task NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1)
         SELECT tier, round(avg(c_valid / n), 9) AS "full", count(*) AS n_full, max(kept) AS kept, max(n_kept) AS n_kept FROM c LEFT JOIN k USING (tier) GROUP BY 1""",
-    "verdict_bootstrap": f"""WITH {T}, {C}, p AS (SELECT c_valid / n AS valid, c_invariant / n AS invariant, row_number() OVER (ORDER BY task) - 1 AS pos FROM c), z AS (SELECT count(*) AS size FROM p),
-        d AS (SELECT b, ((b * 7919 + j * 104729 + 17) % 1000003) % size AS pos FROM z, range(200) x(b), LATERAL (SELECT unnest(range(size)) AS j)),
-        m AS (SELECT b, avg(valid) AS valid, avg(invariant) AS invariant FROM d JOIN p USING (pos) GROUP BY 1),
-        u AS (SELECT b, 'valid' AS metric, valid AS m FROM m UNION ALL SELECT b, 'invariant', invariant FROM m UNION ALL SELECT b, 'difference', invariant - valid FROM m),
-        o AS (SELECT metric, m, row_number() OVER (PARTITION BY metric ORDER BY m) AS i FROM u)
-        SELECT metric, round(avg(m), 9) AS mean, round(max(m) FILTER (i = 6), 9) AS low, round(max(m) FILTER (i = 196), 9) AS high FROM o GROUP BY 1""",
+    "verdict_bootstrap": f"""WITH {DRAWN.replace('ROUNDS', str(ROUNDS))} m AS (SELECT b, avg(compiles) AS compiles, avg(invariant) AS invariant, avg(scenario) AS scenario, avg(valid) AS valid FROM d JOIN p USING (pos) GROUP BY 1),
+        u AS (UNPIVOT m ON compiles, invariant, scenario, valid INTO NAME metric VALUE m), {INTERVALS.format(low=ROUNDS // 40 + 1, high=ROUNDS * 39 // 40 + 1)}""",
+    "verdict_bootstrap_pairs": f"""WITH {DRAWN.replace('ROUNDS', str(ROUNDS))} m AS (SELECT b, avg(compiles) AS c, avg(invariant) AS i, avg(scenario) AS s, avg(valid) AS v FROM d JOIN p USING (pos) GROUP BY 1),
+        u AS (SELECT b, unnest(['compiles - invariant', 'compiles - scenario', 'compiles - valid', 'invariant - scenario', 'invariant - valid', 'scenario - valid']) AS metric, unnest([c - i, c - s, c - v, i - s, i - v, s - v]) AS m FROM m),
+        {INTERVALS.format(low=ROUNDS // 40 + 1, high=ROUNDS * 39 // 40 + 1)}""",
+    "verdict_bootstrap_trials": f"""WITH {DRAWN.replace('ROUNDS', str(TRIAL_ROUNDS))} e AS (SELECT b, j, n, c_valid, unnest(range(1, n + 1)) AS i FROM d JOIN p USING (pos)),
+        t2 AS (SELECT b, j, avg(CAST({HASH.format(s=1, p="b || ':' || j || ':' || i")} % n < c_valid AS INTEGER)) AS v FROM e GROUP BY 1, 2), u AS (SELECT b, 'valid' AS metric, avg(v) AS m FROM t2 GROUP BY 1),
+        {INTERVALS.format(low=int(TRIAL_ROUNDS * 0.025) + 1, high=int(TRIAL_ROUNDS * 0.975) + 1)}""",
+    "verdict_bootstrap_cells": f"""WITH {L}, c AS (SELECT task, seed, avg(CAST(valid AS INTEGER)) AS v FROM t GROUP BY 1, 2), p AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS pos FROM (SELECT DISTINCT task FROM c)),
+        q AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS s FROM (SELECT DISTINCT seed FROM c)), z AS (SELECT (SELECT count(*) FROM p) AS size, (SELECT count(*) FROM q) AS seeds),
+        d AS (SELECT b, {HASH.format(s=0, p="b || ':' || j")} % size AS pos, {HASH.format(s=2, p="b || ':' || j")} % seeds AS s FROM z, range({CELL_ROUNDS}) x(b), LATERAL (SELECT unnest(range(size)) AS j)),
+        u AS (SELECT b, 'valid' AS metric, avg(coalesce(v, 0)) AS m FROM d JOIN p USING (pos) JOIN q USING (s) LEFT JOIN c USING (task, seed) GROUP BY 1), {INTERVALS.format(low=CELL_ROUNDS // 40 + 1, high=CELL_ROUNDS * 39 // 40 + 1)}""",
+    "verdict_claims": f"""WITH {L}, a AS (SELECT tier, round(avg(CAST(valid AS INTEGER)), 9) AS v FROM t GROUP BY 1), b AS (SELECT tier, round(avg(CAST(valid AS INTEGER)), 9) AS v FROM t WHERE task % 4 <> 1 GROUP BY 1),
+        x AS (SELECT tier, CAST(row_number() OVER (ORDER BY v DESC, tier) AS INTEGER) AS r, sign(round(v - lead(v) OVER (ORDER BY tier), 9)) AS s FROM a), y AS (SELECT tier, CAST(row_number() OVER (ORDER BY v DESC, tier) AS INTEGER) AS r, sign(round(v - lead(v) OVER (ORDER BY tier), 9)) AS s FROM b)
+        SELECT tier, x.r AS rank_all, y.r AS rank_masked, x.r = y.r AS same_rank, x.s = y.s AS same_sign, x.r = 1 AND y.r = 1 AS leads FROM x JOIN y USING (tier)""",
     "verdict_bootstrap_resampled": f"""WITH {T}, {C}, p AS (SELECT c_valid / n AS valid, c_invariant / n AS invariant, row_number() OVER (ORDER BY task) - 1 AS pos FROM c), z AS (SELECT count(*) AS size FROM p),
         d AS (SELECT b, CAST('0x' || md5('0:' || b || ':' || j)[1:15] AS BIGINT) % size AS pos FROM z, range({ROUNDS}) x(b), LATERAL (SELECT unnest(range(size)) AS j)),
         m AS (SELECT b, avg(valid) AS valid, avg(invariant) AS invariant FROM d JOIN p USING (pos) GROUP BY 1),
