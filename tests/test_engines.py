@@ -60,6 +60,8 @@ def test_tasks(spark, tmp_path):
     got = rows.collect()
     assert [(r.id, r.reference) for r in got] == [("E2", None), ("E1", "PROGRAM\nEND_PROGRAM")] and got[1].safety_properties[0].severity == "high"
     assert {(r.id, r.fault) for r in records.task_faults(rows).collect()} == {("E2", "no properties"), ("E2", "range without two bounds"), ("E2", "unknown difficulty")}
+    odd = rows.withColumn("safety_properties", F.transform("safety_properties", lambda p: p.withField("ltl", F.lit("G(a -> !zz)"))))
+    assert ("E1", "formula with an unknown name") in {tuple(r) for r in records.task_faults(odd).collect()}
 
 
 def test_panels_and_seed_runs(spark, tmp_path):
@@ -68,6 +70,10 @@ def test_panels_and_seed_runs(spark, tmp_path):
     schema = "model string, rows array<struct<task_id: string, samples: array<struct<code: string>>>>"
     assert [tuple(r) for r in records.panel_samples(spark, str(tmp_path), schema).orderBy("i").collect()] == [("m", "E1", 0, "a"), ("m", "E1", 1, "")]
     assert [(r.stage, r.seed) for r in records.seed_runs(spark, str(tmp_path), schema).collect()] == [("sft_x", 2)]
+    assert [tuple(r) for r in records.stages(spark, str(tmp_path)).collect()] == [("sft_x", 1)]
+    out = str(tmp_path / "report")
+    records.write_report(spark.range(1), spark.range(2), spark.range(3), out)
+    assert [spark.read.json(f"{out}/{k}").count() for k in ("summary", "by_tier", "rows")] == [1, 2, 3]
 
 
 def test_json_lines_and_subsets(spark, tmp_path):

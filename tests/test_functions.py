@@ -53,3 +53,26 @@ def test_rewards(spark):
     assert [one(False, False, 0.0, 0.0, False, k) for k in ("dual", "task", "gated")] == [0, 0, 0]
     assert [round(one(True, True, 0.5, 1.0, False, k), 9) for k in ("dual", "task", "gated")] == [0.65, 0.8, 0.1]
     assert [round(one(True, True, 1.0, None, True, k), 9) for k in ("dual", "task", "gated")] == [1.0, 0.9, 0.9]
+
+
+def test_up_down_counter_over_batches(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, i, rng.random() < 0.5, rng.random() < 0.4) for k in range(3) for i in range(25_000 if k == 1 else 40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, i int, u boolean, d boolean")
+    got = {(r.k, r.i): r.n for r in T.with_up_down_counter(df, F.col("u"), F.col("d"), 3, ORDER, "n").collect()}
+    n = {}
+    for k, i, u, d in sorted(rows):
+        n[k] = min(3, max(0, n.get(k, 0) + u - d))
+        assert got[k, i] == n[k]
+    assert len(got) == len(rows)
+
+
+def test_long_folds_are_gathered_in_pieces(spark):
+    total = lambda scan, now: F.struct((now["s"] + scan).alias("s"))
+    for size in (0, 1, 255, 256, 257, 5000):
+        scans = F.sequence(F.lit(1), F.lit(size)) if size else F.array().cast("array<int>")
+        got = spark.range(1).select(T.stepped(scans, F.struct(F.lit(0).alias("s")), total, "struct<s:int>").alias("x")).first().x
+        assert [r.s for r in got] == [i * (i + 1) // 2 for i in range(1, size + 1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +68,41 @@ def scans_of(df: DataFrame, order: Order, *columns: str) -> DataFrame:
     return df.groupBy(order.key).agg(packed.alias("scans"))
 
 
-def up_down_counts(scans: Column, up, down, cap: int) -> Column:
-    """Counts after each scan, clamped to 0..cap on either side; a fold, as clamping twice is no window aggregate."""
+def with_up_down_counter(df: DataFrame, up: Column, down: Column, cap: int, order: Order, name: str = "count") -> DataFrame:
+    """df with a count clamped to 0..cap on either side after each scan, which no window aggregate gives.
 
-    def step(state, scan):
-        n = F.greatest(F.lit(0), F.least(F.lit(cap), state["n"] + up(scan).cast("int") - down(scan).cast("int")))
-        return F.struct(n.alias("n"), F.concat(state["out"], F.array(n)).alias("out"))
+    Each task sorts its traces (on disk if need be) and steps through them a batch at a time, with the count of one trace carried on.
+    """
+    rows = df.withColumn(name, F.coalesce(up, F.lit(False)).cast("int") - F.coalesce(down, F.lit(False)).cast("int"))
 
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(scans, start, step)["out"]
+    def run(batches):
+        trace, n = object(), 0
+        for batch in batches:
+            counts = []
+            for key, step in zip(batch.column(order.key).to_pylist(), batch.column(name).to_pylist(), strict=True):
+                n = min(cap, max(0, (n if key == trace else 0) + step))
+                trace = key
+                counts.append(n)
+            yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(counts, pa.int32()))
+
+    return rows.repartition(order.key).sortWithinPartitions(order.key, *order.by).mapInArrow(run, rows.schema)
+
+
+def stepped(scans: Column, start: Column, step, kind: str, width: int = 256) -> Column:
+    """The states after each of an array of scans: step makes a state of a scan and the state before it; kind is a state's type.
+
+    States are gathered in pieces of ``width``, so that a long trace is not copied anew at each scan.
+    """
+    first = lambda now, empty: F.struct(now.alias("now"), F.array().cast(empty).alias("out"))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def one(acc, scan):
+        return once(step(scan, acc["now"]), lambda new: F.struct(new.alias("now"), F.concat(acc["out"], F.array(new)).alias("out")))
+
+    def piece(acc, part):
+        inner = F.aggregate(part, first(acc["now"], f"array<{kind}>"), one)
+        return once(inner, lambda done: F.struct(done["now"].alias("now"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+
+    n = F.ceil(F.size(scans) / width).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(scans, k * width + 1, F.lit(width)))
+    return F.when(n > 0, F.aggregate(parts, first(start, f"array<array<{kind}>>"), piece, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))

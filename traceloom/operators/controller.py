@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.functions.trace import Order, scans_of
+from traceloom.functions.trace import Order, scans_of, stepped
 from traceloom.sources.shared import stored
 
 Env = dict[str, Column]
@@ -48,14 +48,9 @@ def env(struct: Column, names) -> Env:
 def run_traces(df: DataFrame, controller: Controller, order: Order) -> DataFrame:
     """One row per trace: its scans, and ``states``, the state after each. A fold in the JVM, for traces that fit a row."""
     packed = scans_of(df, order, *controller.inputs)
-
-    def merge(acc, scan):
-        new = controller.after(env(scan, controller.inputs) | env(acc["now"], controller.state))
-        return F.struct(new.alias("now"), F.concat(acc["out"], F.array(new)).alias("out"))
-
-    kind = f"array<struct<{','.join(f'{k}:{controller.kind(k)}' for k in controller.state)}>>"
-    start = F.struct(controller.initial().alias("now"), F.array().cast(kind).alias("out"))
-    return packed.withColumn("states", F.aggregate("scans", start, merge, lambda acc: acc["out"]))
+    kind = f"struct<{','.join(f'{k}:{controller.kind(k)}' for k in controller.state)}>"
+    step = lambda scan, now: controller.after(env(scan, controller.inputs) | env(now, controller.state))
+    return packed.withColumn("states", stepped(F.col("scans"), controller.initial(), step, kind))
 
 
 def with_inputs(df: DataFrame, controller: Controller, name: str) -> DataFrame:

@@ -157,6 +157,12 @@ MUTANTS = r"""k(rule, pattern) AS (VALUES ('bool_flip', '\b(?:TRUE|FALSE)\b'), (
         ELSE CASE t WHEN 'TRUE' THEN 'FALSE' WHEN 'FALSE' THEN 'TRUE' WHEN '>=' THEN '<=' WHEN '<=' THEN '>=' WHEN '>' THEN '<' WHEN '<' THEN '>' WHEN 'AND' THEN 'OR' WHEN 'OR' THEN 'AND' WHEN '&' THEN '|' ELSE '&' END || rest
         END AS mutant FROM z"""
 
+BUGS = r"""c AS (SELECT id, code, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 1) AS head, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 2) AS cond FROM p),
+    d AS (SELECT *, string_split_regex(cond, '\s+OR\s+') AS parts, instr(code, '>=') AS ge, instr(code, '<=') AS le, instr(code, ':= FALSE;') AS off FROM c),
+    e AS (SELECT id, CASE WHEN len(parts) > 1 THEN head || array_to_string(parts[2:], ' OR ') || substr(code, length(head) + length(cond) + 1) END AS weaken_or,
+        CASE WHEN ge > 0 THEN left(code, ge - 1) || '>' || substr(code, ge + 2) WHEN le > 0 THEN left(code, le - 1) || '<' || substr(code, le + 2) END AS flip_compare,
+        CASE WHEN off > 0 THEN left(code, off - 1) || ':= TRUE;' || substr(code, off + 9) END AS force_true FROM d)"""
+
 ORACLE_SQL = {
     "program_lint": f"WITH {P}, {LINT}",
     "program_lint_documents": f"WITH {D}, {LINT}",
@@ -187,12 +193,7 @@ ORACLE_SQL = {
             h || chr(10) || chr(10) || chr(10) || 'END_PROGRAM' || chr(10) AS empty FROM h""",
     "program_mutants": f"WITH {P}, {MUTANTS}",
     "program_mutants_documents": f"WITH {D}, {MUTANTS}",
-    "program_first_bugs": rf"""WITH {P}, c AS (SELECT id, code, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 1) AS head, regexp_extract(code, '(?s)^(.*?\bIF\s+)(.+?)\s+THEN', 2) AS cond FROM p),
-        d AS (SELECT *, string_split_regex(cond, '\s+OR\s+') AS parts, instr(code, '>=') AS ge, instr(code, '<=') AS le, instr(code, ':= FALSE;') AS off FROM c),
-        e AS (SELECT id, CASE WHEN len(parts) > 1 THEN head || array_to_string(parts[2:], ' OR ') || substr(code, length(head) + length(cond) + 1) END AS weaken_or,
-            CASE WHEN ge > 0 THEN left(code, ge - 1) || '>' || substr(code, ge + 2) WHEN le > 0 THEN left(code, le - 1) || '<' || substr(code, le + 2) END AS flip_compare,
-            CASE WHEN off > 0 THEN left(code, off - 1) || ':= TRUE;' || substr(code, off + 9) END AS force_true FROM d)
-        SELECT *, len(list_distinct([weaken_or, flip_compare, force_true])) AS n_bugs FROM e""",
+    "program_first_bugs": f"WITH {P}, {BUGS} SELECT *, len(list_distinct([weaken_or, flip_compare, force_true])) AS n_bugs FROM e",
     "program_checker_status": r"""WITH r AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_discount > CAST(0.08 AS DOUBLE)) AS bad, string_agg('-- specification G(n < ' || l_linenumber || ') is ' || CASE WHEN l_discount > CAST(0.08 AS DOUBLE) THEN 'false' ELSE 'TRUE' END,
             chr(10) ORDER BY l_linenumber, l_partkey, l_quantity, l_discount) AS body FROM lineitem GROUP BY 1),
         o AS (SELECT *, CASE WHEN id % 13 = 0 THEN '' ELSE 'checker' || chr(10) || body || chr(10) || 'end  ' END AS output FROM r),

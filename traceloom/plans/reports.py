@@ -9,6 +9,7 @@ from traceloom.functions import text as X
 from traceloom.functions.metrics import pass_at_k
 from traceloom.operators import grids, mutation
 from traceloom.plans import programs, traces, verdicts
+from traceloom.sources.records import matrix_lines
 from traceloom.sources.tables import table
 
 
@@ -272,6 +273,19 @@ def all_grids(spark):
     return grids.grid(spark, grids.DEFAULT).unionByName(grids.grid(spark, grids.HARD))
 
 
+def report_matrix(spark, sf_dir):
+    """Valid trials by supplier and line number as lines of fixed width, and the tier that the first letter of a region stands for."""
+    rows = verdicts.line_trials(spark, sf_dir).groupBy("task", F.col("seed").cast("string").alias("seed")).agg(F.count_if("valid").alias("c"))
+    return matrix_lines(rows, "task", "seed", "c", ["1", "2", "3", "9"])
+
+
+def report_tiers(spark, sf_dir):
+    """Tasks by the tier that their id begins with, and the short ids; ids of no tier are apart."""
+    task = F.concat(F.element_at(F.array(F.lit("E"), F.lit("M"), F.lit("H"), F.lit("X")), (F.col("p_partkey") % 4 + 1).cast("int")), F.lpad((F.col("p_size")).cast("string"), 2, "0"), F.lit("_"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))
+    rows = table(spark, sf_dir, "part").select(task.alias("task")).withColumns({"tier": F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for x in ("E", "easy", "M", "medium", "H", "hard"))), F.substring("task", 1, 1)), F.lit("none")), "short": F.split_part("task", F.lit("_"), F.lit(1))})
+    return rows.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("short").alias("n_short"), F.min("short").alias("first"))
+
+
 def joined(rows):
     return rows.select("family", "id", "difficulty", F.size("formulas").cast("long").alias("n_formulas"), F.array_join("formulas", "; ").alias("formulas"))
 
@@ -286,6 +300,53 @@ def grid_hard(spark, sf_dir):
     return joined(grids.grid(spark, grids.HARD))
 
 
+def repairs(spark, sf_dir):
+    """Programs that stored verdicts hold verified, with their bugs in the order of the rules: which property each breaks, and its trace (empty if there is none)."""
+    rows = mutation.first_bugs(programs.parts(spark, sf_dir)).filter("id % 10 <> 9")
+    bugs = F.array_compact(F.array(*(F.when(F.col(c) != F.col("code"), F.struct(F.lit(c).alias("rule"), F.col(c).alias("bug"))) for c in ("weaken_or", "flip_compare", "force_true"))))
+    each = rows.select("id", "code", F.posexplode(bugs).alias("pos", "b")).select("id", "code", "pos", "b.*").withColumn("digest", F.md5(F.col("bug").cast("binary")))
+    # Of three properties the first in the order of declaration that fails; none does where the bug is harmless.
+    statuses = F.array(*(F.when(F.substring("digest", k, 1) < limit, "fail").otherwise("pass") for k, limit in ((1, "4"), (2, "8"), (3, "c"))))
+    first = F.array_position(statuses, "fail")
+    trace = F.when(F.substring("digest", 4, 1) < "e", F.concat(F.lit("state 1: "), "digest")).otherwise("")
+    return each.filter(first > 0).select("id", "code", "pos", "rule", "bug", first.alias("property"), trace.alias("trace")).filter("trace <> ''")
+
+
+MEANINGS = {1: "stays off", 2: "stays bounded", 3: "needs a request"}
+
+
+def meaning():
+    return F.element_at(F.create_map(*(F.lit(x) for pair in MEANINGS.items() for x in pair)), F.col("property").cast("int"))
+
+
+def ask():
+    return F.concat(F.lit("Write program "), F.col("id"))
+
+
+def data_repairs(spark, sf_dir):
+    """Training pairs: each verified program for its prompt, and its first bug that breaks a property, with feedback, for the program."""
+    made = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
+    pairs = repairs(spark, sf_dir).withColumn("made", made - 1).filter("made < 1")
+    prompt = X.repair_prompt("full", ask(), F.col("bug"), F.concat(F.lit("P"), "property"), meaning(), F.col("trace"))
+    repair = pairs.select(F.concat("id", F.lit("__repair"), "made").alias("pair"), F.lit("repair").alias("kind"), F.md5(prompt.cast("binary")).alias("prompt"), F.md5(F.col("code").cast("binary")).alias("completion"))
+    plain = programs.parts(spark, sf_dir).filter("id % 10 <> 9").select(F.col("id").cast("string").alias("pair"), F.lit("zeroshot").alias("kind"), F.md5(ask().cast("binary")).alias("prompt"), F.md5(F.col("code").cast("binary")).alias("completion"))
+    return plain.unionByName(repair)
+
+
+def data_repair_controls(spark, sf_dir):
+    """Each first bug under five kinds of feedback; shuffled ones get the trace of the next item, the last that of the first."""
+    first = repairs(spark, sf_dir).groupBy("id").agg(F.min_by(F.struct("bug", "property", "trace"), "pos").alias("m")).select("id", "m.*")
+    own = placed(first.select("id"), "id", "3")
+    size = own.agg(F.count("*").alias("size"))
+    items = first.join(own, "id").crossJoin(F.broadcast(size))
+    other = items.select((F.col("place") - 1).alias("place"), F.col("trace").alias("other"))
+    last = items.filter("place = 1").select(F.col("size").alias("place"), F.col("trace").alias("other"))
+    pairs = items.join(other.filter("place > 0").unionByName(last), "place")
+    args = (ask(), F.col("bug"), F.concat(F.lit("P"), "property"), meaning(), F.col("trace"), F.col("other"))
+    variants = F.explode(F.array(*(F.struct(F.lit(f"repair_{k}").alias("kind"), F.md5(X.repair_prompt(k, *args).cast("binary")).alias("prompt")) for k in X.FEEDBACK)))
+    return pairs.select("id", variants.alias("v")).select("id", "v.*")
+
+
 T = """t AS (SELECT doc_id, source AS task_id, lang AS tier, text AS code, CASE WHEN doc_id % 37 = 0 THEN 'timed out' END AS error, n_chars >= 50 AS parsed, CASE WHEN doc_id % 41 <> 0 THEN n_chars >= 200 END AS compiles,
     doc_id % 31 <> 0 AS available, [CASE WHEN toxic = 0 THEN 'pass' ELSE 'fail' END, CASE WHEN doc_id % 29 = 0 THEN 'error' WHEN quality = 1 THEN 'pass' ELSE 'unknown' END] AS st,
     doc_id % 4 AS s_all, CASE WHEN quality = 1 THEN doc_id % 4 ELSE (doc_id % 4) // 2 END AS s_ok FROM documents JOIN labels USING (doc_id))"""
@@ -315,7 +376,19 @@ SQL_HARD = f"""SELECT 'safety_chain' AS family, 'GEN_chain_' || a || 'e' || b ||
     UNION ALL SELECT 'ordered_pair', 'GEN_ordered_' || a || '_' || b, 'medium', ['G(' || b || ' -> ' || a || ')', 'G(!EStop -> (!' || a || ' & !' || b || '))', 'G(Stop -> (!' || a || ' & !' || b || '))'] FROM (VALUES ('Feed', 'Mix'), ('Pump', 'Heat'), ('Conv1', 'Conv2'), ('Lube', 'Spindle'), ('Charge', 'Run')) p(a, b)
     UNION ALL SELECT 'two_speed', 'GEN_twospeed_' || o, 'medium', ['G(!(' || o || 'Slow & ' || o || 'Fast))', 'G(!EStop -> (!' || o || 'Slow & !' || o || 'Fast))', 'G(' || o || 'Fast -> FastEnable)'] FROM {SIX}"""
 
+BUGS = f"""{programs.BUGS}, q AS (SELECT id, code, unnest([1, 2, 3]) AS pos, unnest([weaken_or, flip_compare, force_true]) AS bug FROM e JOIN p USING (id) WHERE id % 10 <> 9),
+    h AS (SELECT *, md5(bug) AS g FROM q WHERE bug IS NOT NULL), w AS (SELECT *, CASE WHEN g[1] < '4' THEN 1 WHEN g[2] < '8' THEN 2 WHEN g[3] < 'c' THEN 3 END AS prop, 'state 1: ' || g AS trace FROM h WHERE g[4] < 'e'),
+    f AS (SELECT *, ['stays off', 'stays bounded', 'needs a request'][prop] AS meaning, 'Write program ' || id || chr(10) || chr(10) || '---' || chr(10) || 'This attempt failed verification:' || chr(10) || chr(10) || bug || chr(10) || chr(10) AS head
+          FROM w WHERE prop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1)"""
+TAIL = "'Return a corrected program that satisfies all safety properties, and nothing else.'"
+BROKEN = "'It breaks safety property P' || prop || ' (' || meaning || ')'"
+SHOWN = f"head || {BROKEN} || ' with this counterexample:' || chr(10) || chr(10) || {{t}} || chr(10) || chr(10) || {TAIL}"
 ORACLE_SQL = {
+    "data_repairs": f"""WITH {programs.P}, {BUGS} SELECT CAST(id AS VARCHAR) AS pair, 'zeroshot' AS kind, md5('Write program ' || id) AS prompt, md5(code) AS completion FROM p WHERE id % 10 <> 9
+        UNION ALL SELECT id || '__repair0', 'repair', md5({SHOWN.format(t='trace')}), md5(code) FROM f""",
+    "data_repair_controls": f"""WITH {programs.P}, {BUGS}, o AS (SELECT *, coalesce(lead(trace) OVER w, first_value(trace) OVER w) AS other FROM f WINDOW w AS (ORDER BY md5('3:' || id), id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        SELECT id, unnest(['repair_full', 'repair_nocex', 'repair_proponly', 'repair_erroronly', 'repair_shuffle']) AS kind, unnest([md5({SHOWN.format(t='trace')}), md5(head || {TAIL}), md5(head || {BROKEN} || '. ' || {TAIL}),
+            md5(head || 'The checker reported a violation, without a trace. ' || {TAIL}), md5({SHOWN.format(t='other')})]) AS prompt FROM o""",
     "report_evaluation": f"""WITH {T}, {G} SELECT task_id, count(*) AS tasks, count(error) AS api_errors, {', '.join(f"round(count(*) FILTER (category = '{c}') / count(*), 9) AS {c}_rate" for c in ('verified', 'unsafe', 'parse_error', 'compile_error', 'translate_error'))},
         round(coalesce(sum(len(list_filter(st, lambda x: x = 'pass'))) FILTER (error IS NULL) / sum(2) FILTER (error IS NULL), 0), 9) AS property_pass_rate,
         round(coalesce(sum(s_ok) FILTER (error IS NULL) / nullif(sum(s_all) FILTER (error IS NULL), 0), 0), 9) AS scenario_pass_rate,
@@ -375,6 +448,10 @@ ORACLE_SQL = {
         f AS (SELECT CASE WHEN len(list_intersect(regexp_extract_all(body, '[A-Za-z_]\w*'), outs)) = 0 THEN 'input-only' WHEN contains(body, '&') AND contains(body, '!') AND NOT contains(body, '->') THEN 'mutual-exclusion' WHEN forces THEN 'positive-obligation'
             WHEN len(list_filter(outs, lambda o: regexp_matches(body, '!\s*' || o))) > 0 AND contains(body, '->') THEN 'guard->!out' ELSE 'other' END AS form, NOT contains(body, 'Count') AND NOT forces AS vac FROM o)
         SELECT form, count(*) AS n, count(*) FILTER (vac) AS vacuous, count(*) FILTER (NOT vac) AS not_vacuous FROM f GROUP BY 1""",
+    "report_matrix": f"""WITH {verdicts.L}, g AS (SELECT task, seed, CAST(count(*) FILTER (valid) AS VARCHAR) AS c FROM t GROUP BY 1, 2)
+        SELECT task, rpad(CAST(task AS VARCHAR), 9, ' ') || {' || '.join(f"lpad(coalesce(max(c) FILTER (seed = {k}), '-'), 9, ' ')" for k in (1, 2, 3, 9))} AS line FROM g GROUP BY 1""",
+    "report_tiers": """WITH t AS (SELECT ['E', 'M', 'H', 'X'][p_partkey % 4 + 1] || lpad(CAST(p_size AS VARCHAR), 2, '0') || '_' || replace(p_name, ' ', '_') AS task FROM part)
+        SELECT CASE task[1] WHEN 'E' THEN 'easy' WHEN 'M' THEN 'medium' WHEN 'H' THEN 'hard' ELSE 'none' END AS tier, count(*) AS n, count(DISTINCT string_split(task, '_')[1]) AS n_short, min(string_split(task, '_')[1]) AS "first" FROM t GROUP BY 1""",
     "grid_default": f"SELECT family, id, difficulty, len(f) AS n_formulas, array_to_string(f, '; ') AS formulas FROM ({SQL_DEFAULT})",
     "grid_hard": f"SELECT family, id, difficulty, len(f) AS n_formulas, array_to_string(f, '; ') AS formulas FROM ({SQL_HARD})",
 }

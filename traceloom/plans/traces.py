@@ -66,9 +66,9 @@ def trace_edge_counter(spark, sf_dir):
 
 
 def trace_up_down_counter(spark, sf_dir):
-    """A counter clamped on both sides, by a fold over each trace; per trace its last and largest count."""
-    folded = T.scans_of(scans(spark, sf_dir), KEY, "pulse", "start").withColumn("n", T.up_down_counts(F.col("scans"), lambda s: s["pulse"], lambda s: s["start"], 4))
-    return folded.select("user_id", F.element_at("n", -1).alias("n_last"), F.array_max("n").alias("n_max"), F.size("n").cast("long").alias("n_scans"))
+    """A counter clamped on both sides; per trace its last and largest count."""
+    out = T.with_up_down_counter(scans(spark, sf_dir).select("user_id", "ts", "event_id", "pulse", "start"), F.col("pulse"), F.col("start"), 4, KEY, "n")
+    return out.groupBy("user_id").agg(F.max_by("n", F.struct("ts", "event_id")).alias("n_last"), F.max("n").alias("n_max"), F.count("*").alias("n_scans"))
 
 
 def trace_persisted_input(spark, sf_dir):
@@ -107,6 +107,40 @@ def trace_contiguous_groups(spark, sf_dir):
     return groups.groupBy("user_id").agg(F.round(F.avg("sd"), 6).alias("mean_sd"), F.count_if(F.col("sd") == 0).alias("n_flat"))
 
 
+def trace_coverage(spark, sf_dir):
+    """How many traces show each event of the timer, and how many all three."""
+    per = trace_timer_events(spark, sf_dir)
+    seen = F.array_compact(F.array(*(F.when(F.col(f"n_{c}") > 0, c) for c in ("rise", "expire", "stop"))))
+    rows = per.withColumn("seen", seen)
+    every = F.size(F.array_except(F.array(F.lit("rise"), F.lit("expire"), F.lit("stop")), "seen")) == 0
+    return rows.agg(F.count("*").alias("traces"), *(F.count_if(F.array_contains("seen", c)).alias(c) for c in ("rise", "expire", "stop")), F.count_if(every).alias("complete"))
+
+
+#: Scans of a generated trace, and chances in hundredths that a boolean or a number changes at a scan.
+N_SCANS, FLIP, REDRAW = 40, 35, 40
+
+
+def draw(below: int, *parts):
+    """A whole number from 0 to below, fixed by the parts."""
+    word = F.md5(F.concat_ws(":", *parts).cast("binary"))
+    return F.pmod(F.conv(F.substring(word, 1, 15), 16, 10).cast("long"), F.lit(below)).cast("int")
+
+
+def trace_generated(spark, sf_dir):
+    """Seven test traces for each supplier as a seed, of a boolean a and a number n from 0 to 5: three random walks, all held, toggled at each scan,
+    and high then low and the other way round."""
+    k, t, key = F.col("scan"), F.col("trace"), F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("trace")).select("*", F.explode(F.sequence(F.lit(0), F.lit(N_SCANS - 1))).alias("scan"))
+    flip = (draw(100, F.lit("f"), key, t, k) < FLIP).cast("int")
+    fresh = F.when((k == 0) | (draw(100, F.lit("r"), key, t, k) < REDRAW), draw(6, F.lit("n"), key, t, k))
+    order = T.Order("__t", ("scan",))
+    walks = rows.filter("trace < 3").withColumn("__t", F.concat_ws(":", "s_suppkey", "trace"))
+    walks = walks.select("s_suppkey", "trace", "scan", ((draw(2, F.lit("b"), key, t) + F.sum(flip).over(order.running)) % 2 == 1).alias("a"), T.persisted(fresh, order, 0).alias("n"))
+    high = F.when(t == 3, True).when(t == 4, k % 2 == 0).when(t == 5, k < N_SCANS // 2).otherwise(k >= N_SCANS // 2)
+    fixed = rows.filter("trace >= 3").select("s_suppkey", "trace", "scan", high.alias("a"), F.when(t == 4, k % 6).otherwise(F.when(high, 5).otherwise(0)).alias("n"))
+    return walks.unionByName(fixed)
+
+
 def trace_timer_table(spark, sf_dir):
     """Truth table of the timer for presets 1 to 3 over one input."""
     signal = [1, 1, 1, 1, 1, 1, 0, 0, 1, 1]
@@ -127,6 +161,7 @@ TON = f"""r AS (SELECT *, NOT trip AS run, sum(CASE WHEN trip THEN 1 ELSE 0 END)
     t AS (SELECT *, CAST(least({PRESET}, sum(CASE WHEN run THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id)) AS INTEGER) AS et FROM r),
     q AS (SELECT *, run AND et >= {PRESET} AS q, coalesce(lag(et) {W}, 0) AS before FROM t)"""
 
+HASH = "CAST('0x' || md5({p})[1:15] AS BIGINT)"
 ORACLE_SQL = {
     "trace_alarm_latch": f"WITH {S}, {ALARM} SELECT user_id, count(*) AS n_scans, count(*) FILTER (alarm) AS n_alarm, count(*) FILTER (trip AND NOT alarm) AS n_violations FROM a GROUP BY 1",
     "trace_latch_dominance": f"""WITH {S}, b AS (SELECT *, trip OR "start" AS on_, reset OR "start" AS off_ FROM s),
@@ -142,6 +177,12 @@ ORACLE_SQL = {
     "trace_edge_counter": f"""WITH {S}, e AS (SELECT *, pulse AND NOT coalesce(lag(pulse) {W}, FALSE) AND NOT reset AS edge, sum(CASE WHEN reset THEN 1 ELSE 0 END) {W} AS g FROM s),
         c AS (SELECT event_id, CAST(least({COUNTER_CAP}, sum(CASE WHEN edge THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id)) AS INTEGER) AS n FROM e)
         SELECT event_id, n, n >= {COUNTER_CAP} AS "full" FROM c""",
+    "trace_generated": f"""WITH r AS (SELECT s_suppkey, t AS trace, k AS scan FROM supplier, range(7) a(t), range({N_SCANS}) b(k)),
+        w AS (SELECT *, {HASH.format(p="'f:' || s_suppkey || ':' || trace || ':' || scan")} % 100 < {FLIP} AS flip, {HASH.format(p="'b:' || s_suppkey || ':' || trace")} % 2 AS b,
+              CASE WHEN scan = 0 OR {HASH.format(p="'r:' || s_suppkey || ':' || trace || ':' || scan")} % 100 < {REDRAW} THEN {HASH.format(p="'n:' || s_suppkey || ':' || trace || ':' || scan")} % 6 END AS fresh FROM r WHERE trace < 3)
+        SELECT s_suppkey, trace, scan, (b + count(*) FILTER (flip) OVER o) % 2 = 1 AS a, last_value(fresh IGNORE NULLS) OVER o AS n FROM w WINDOW o AS (PARTITION BY s_suppkey, trace ORDER BY scan ROWS UNBOUNDED PRECEDING)
+        UNION ALL SELECT s_suppkey, trace, scan, CASE trace WHEN 3 THEN true WHEN 4 THEN scan % 2 = 0 WHEN 5 THEN scan < {N_SCANS // 2} ELSE scan >= {N_SCANS // 2} END,
+            CASE WHEN trace = 4 THEN scan % 6 WHEN trace = 3 OR (trace = 5) = (scan < {N_SCANS // 2}) THEN 5 ELSE 0 END FROM r WHERE trace >= 3""",
     "trace_up_down_counter": f"""WITH RECURSIVE {S}, o AS (SELECT user_id, row_number() {W} AS i, pulse, "start" FROM s),
         c AS (SELECT user_id, CAST(0 AS BIGINT) AS i, 0 AS n FROM o GROUP BY 1
               UNION ALL SELECT o.user_id, o.i, greatest(0, least(4, c.n + CAST(pulse AS INTEGER) - CAST("start" AS INTEGER))) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)
@@ -160,4 +201,6 @@ ORACLE_SQL = {
         e AS (SELECT *, CAST(least(pt, sum(CASE WHEN run THEN 1 ELSE 0 END) OVER (PARTITION BY pt, g ORDER BY scan)) AS INTEGER) AS et FROM g)
         SELECT CAST(pt AS INTEGER) AS pt, scan, et, run AND et >= pt AS q, run AND coalesce(lag(et) OVER (PARTITION BY pt ORDER BY scan), 0) >= pt AS late_q FROM e""",
 }
+ORACLE_SQL["trace_coverage"] = f"""SELECT count(*) AS traces, count(*) FILTER (n_rise > 0) AS rise, count(*) FILTER (n_expire > 0) AS expire, count(*) FILTER (n_stop > 0) AS stop,
+    count(*) FILTER (n_rise > 0 AND n_expire > 0 AND n_stop > 0) AS complete FROM ({ORACLE_SQL["trace_timer_events"]})"""
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.functions.text import unknown_names
+
 TASK = """id string, title string, difficulty string, domain string, nl_spec string,
     interface array<struct<name: string, type: string, direction: string, description: string, range: array<double>>>,
     safety_properties array<struct<id: string, kind: string, nl: string, ltl: string, ctl: string, severity: string>>,
@@ -35,6 +37,10 @@ def task_faults(rows: DataFrame) -> DataFrame:
         "unknown severity": F.coalesce(F.exists("safety_properties", lambda p: ~F.coalesce(p["severity"], F.lit("high")).isin(*SEVERITIES)), F.lit(False)),
         "unknown kind": F.coalesce(F.exists("safety_properties", lambda p: ~p["kind"].isin(*KINDS)), F.lit(False)),
     }
+    names = F.transform(F.coalesce("interface", F.array().cast(rows.schema["interface"].dataType)), lambda v: v["name"])
+    formulas = F.transform("safety_properties", lambda p: F.concat_ws(" ", p["ltl"], p["ctl"]))
+    faults["formula with an unknown name"] = F.coalesce(F.exists(formulas, lambda f: F.size(unknown_names(f, names)) > 0), F.lit(False))
+    faults["property without a formula"] = F.coalesce(F.exists(formulas, lambda f: F.trim(f) == ""), F.lit(False))
     found = F.array_compact(F.array(*(F.when(c, k) for k, c in faults.items())))
     return rows.select("id", F.explode(found).alias("fault"))
 
@@ -54,8 +60,30 @@ def seed_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.filter("stage <> ''").withColumn("seed", F.col("seed").cast("int"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def stages(spark: SparkSession, path: str) -> DataFrame:
+    """The stages that a folder of <stage>_s<seed>.json files has, with their numbers of seeds."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"))
+    named = files.select(F.regexp_extract("name", r"^(.*)_s(\d+)$", 1).alias("stage"), "name").filter("stage <> ''")
+    return named.groupBy("stage").agg(F.count_distinct("name").alias("seeds"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """Records of a file of JSON lines, empty lines left out; with a limit the first ones of the file."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def write_report(summary: DataFrame, by_tier: DataFrame, rows: DataFrame, path: str) -> None:
+    """A report as three folders of JSON: the summary, the tiers and the rows it was made from."""
+    for name, part in (("summary", summary), ("by_tier", by_tier), ("rows", rows)):
+        part.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def matrix_lines(rows: DataFrame, row: str, column: str, value: str, columns: list[str], width: int = 9) -> DataFrame:
+    """A table of fixed width as lines: a row for each value of row, a column for each of columns, empty cells as -."""
+    wide = rows.groupBy(row).pivot(column, columns).agg(F.first(value))
+    cell = lambda c: F.lpad(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")), width, " ")
+    return wide.select(row, F.concat(F.rpad(F.col(row).cast("string"), width, " "), *map(cell, columns)).alias("line"))
 
 
 def first_given(*names: str) -> Column:
