@@ -76,3 +76,15 @@ def test_long_folds_are_gathered_in_pieces(spark):
         scans = F.sequence(F.lit(1), F.lit(size)) if size else F.array().cast("array<int>")
         got = spark.range(1).select(T.stepped(scans, F.struct(F.lit(0).alias("s")), total, "struct<s:int>").alias("x")).first().x
         assert [r.s for r in got] == [i * (i + 1) // 2 for i in range(1, size + 1)]
+
+
+def test_rewards_of_every_outcome(spark):
+    # Parsed, compiled, share of properties, share of scenarios (none: no scenarios), critical property held; and the three rewards.
+    cases = [
+        (False, False, 0.0, 0.0, False, 0.0, 0.0, 0.0), (True, False, 0.0, 0.0, False, 0.1, 0.1, 0.1), (True, True, 0.0, 1.0, False, 0.3, 0.6, 0.1), (True, True, 1.0, 1.0, True, 1.0, 1.0, 1.0),
+        (True, True, 0.5, 1.0, True, 0.65, 0.8, 0.8), (True, True, 0.5, 1.0, False, 0.65, 0.8, 0.1), (True, True, 1.0, None, True, 1.0, 0.9, 0.9), (True, True, 0.0, None, False, 0.3, 0.2, 0.1),
+    ]
+    df = spark.createDataFrame(cases, "parsed boolean, compiled boolean, p double, s double, ok boolean, dual double, task double, gated double")
+    c = F.col
+    for row in df.select(*(reward(c("parsed"), c("compiled"), c("p"), c("s"), c("ok"), k).alias(k + "_") for k in ("dual", "task", "gated")), "dual", "task", "gated").collect():
+        assert [round(x, 9) for x in row[:3]] == list(row[3:])

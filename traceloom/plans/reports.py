@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as X
-from traceloom.functions.metrics import pass_at_k
+from traceloom.functions.metrics import pass_at_k, reward
 from traceloom.operators import grids, mutation
 from traceloom.plans import programs, traces, verdicts
 from traceloom.sources.records import matrix_lines
@@ -286,6 +286,15 @@ def report_tiers(spark, sf_dir):
     return rows.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("short").alias("n_short"), F.min("short").alias("first"))
 
 
+def report_rewards(spark, sf_dir):
+    """Mean graded rewards of a panel's samples by outcome; the first property is the critical one, and a sample without scenarios has no share of them."""
+    rows = categorised(panel(spark, sf_dir)).filter("error IS NULL")
+    held = F.size(F.filter("statuses", lambda s: s == "pass")) / F.size("statuses")
+    share = F.when(F.col("scenarios_total") > 0, F.col("scenarios_pass") / F.col("scenarios_total"))
+    kinds = [reward(F.col("parsed"), F.coalesce(F.col("compiles"), F.lit(True)), held, share, F.get("statuses", 0) == "pass", k).alias(k) for k in ("dual", "task", "gated")]
+    return rows.select("category", *kinds).groupBy("category").agg(F.count("*").alias("n"), *(F.round(F.avg(k), 9).alias(k) for k in ("dual", "task", "gated")))
+
+
 def joined(rows):
     return rows.select("family", "id", "difficulty", F.size("formulas").cast("long").alias("n_formulas"), F.array_join("formulas", "; ").alias("formulas"))
 
@@ -448,6 +457,9 @@ ORACLE_SQL = {
         f AS (SELECT CASE WHEN len(list_intersect(regexp_extract_all(body, '[A-Za-z_]\w*'), outs)) = 0 THEN 'input-only' WHEN contains(body, '&') AND contains(body, '!') AND NOT contains(body, '->') THEN 'mutual-exclusion' WHEN forces THEN 'positive-obligation'
             WHEN len(list_filter(outs, lambda o: regexp_matches(body, '!\s*' || o))) > 0 AND contains(body, '->') THEN 'guard->!out' ELSE 'other' END AS form, NOT contains(body, 'Count') AND NOT forces AS vac FROM o)
         SELECT form, count(*) AS n, count(*) FILTER (vac) AS vacuous, count(*) FILTER (NOT vac) AS not_vacuous FROM f GROUP BY 1""",
+    "report_rewards": f"""WITH {T}, {G}, h AS (SELECT *, len(list_filter(st, lambda x: x = 'pass')) / 2 AS p, CASE WHEN s_all > 0 THEN s_ok / s_all END AS s FROM g WHERE error IS NULL),
+        r AS (SELECT *, CASE WHEN NOT parsed THEN 0.0 WHEN NOT coalesce(compiles, true) THEN 0.1 ELSE 0.3 + 0.7 * p END AS dual, CASE WHEN NOT parsed THEN 0.0 WHEN NOT coalesce(compiles, true) THEN 0.1 WHEN s IS NULL THEN 0.2 + 0.7 * p ELSE 0.2 + 0.4 * p + 0.4 * s END AS task FROM h)
+        SELECT category, count(*) AS n, round(avg(dual), 9) AS dual, round(avg(task), 9) AS task, round(avg(CASE WHEN st[1] = 'pass' THEN task ELSE least(task, 0.1) END), 9) AS gated FROM r GROUP BY 1""",
     "report_matrix": f"""WITH {verdicts.L}, g AS (SELECT task, seed, CAST(count(*) FILTER (valid) AS VARCHAR) AS c FROM t GROUP BY 1, 2)
         SELECT task, rpad(CAST(task AS VARCHAR), 9, ' ') || {' || '.join(f"lpad(coalesce(max(c) FILTER (seed = {k}), '-'), 9, ' ')" for k in (1, 2, 3, 9))} AS line FROM g GROUP BY 1""",
     "report_tiers": """WITH t AS (SELECT ['E', 'M', 'H', 'X'][p_partkey % 4 + 1] || lpad(CAST(p_size AS VARCHAR), 2, '0') || '_' || replace(p_name, ' ', '_') AS task FROM part)
