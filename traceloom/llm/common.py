@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from traceloom.sources.shared import delete, new_path, scratch, shared_dir, stored, stored_at
 
 __all__ = [
-    "FILE", "LOCATOR", "ROW", "Bits", "bounded_sample", "counted", "ddl", "delete", "fetch", "id_bucket", "located", "new_path", "scratch", "shared_dir",
-    "spread_join", "stored", "stored_at", "without",
+    "FILE", "LOCATOR", "ROW", "Bits", "bounded_sample", "counted", "ddl", "delete", "fetch", "id_bucket", "located", "new_path", "scratch", "shared_dir", "slices",
+    "spread_join", "stored", "stored_at", "text_batches", "without",
 ]
 
 #: Names that no table of a user has.
@@ -18,6 +18,30 @@ FILE, ROW = "traceloom_file_5d1b7c", "traceloom_row_5d1b7c"
 MOST_BITS = 26
 
 
+#: Rows of texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs; the session's Arrow batches have BATCH_ROWS rows at most from now on, since a row is a whole text.
+
+    The setting has to hold when the result is computed, so it stays. Batches of the default 10,000 texts would be held by the
+    executor and the worker of each task, some hundred megabytes in all.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return docs
+
+
+def slices(batches, rows: int = BATCH_ROWS):
+    """Arrow batches in parts of so many rows at most, however large they come."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ddl(df: DataFrame, *left_out: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in left_out)
 

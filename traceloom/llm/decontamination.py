@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import ddl
+from traceloom.llm.common import ddl, slices, text_batches
 
 WINDOW, GROUP = 10, 5
 MOST_WORDS = 4_000_000
@@ -208,7 +208,7 @@ def scan(
 
     def run(batches):
         own = matcher(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             counts, hits, found, where = [], [], [], []
             for t in batch.column(batch.num_columns - 1):
                 text = t.as_py()
@@ -223,7 +223,7 @@ def scan(
             new = [pa.array(counts, pa.int64()), pa.array(hits, kind), pa.array(found, pa.list_(pa.string())), pa.array(where, span_kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, "n_words", "hit", "items", "spans"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("traceloom_text"))
+    rows = text_batches(docs).select(*keep, F.col(text_col).alias("traceloom_text"))
     return rows.mapInArrow(run, f"{ddl(docs.select(*keep))}, {FOUND}")
 
 
@@ -246,13 +246,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """docs in which no window occurs; same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(collected(benchmark, item_col, item_text_col, most_words))
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         own = matcher(shared.value)
-        for batch in batches:
-            clean = [not own.hits(words_of(t.as_py()))[0] for t in batch.column(text_col)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        return pa.array([not own.hits(words_of(t.as_py()))[0] for t in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).filter(clean(F.col(text_col)))
 
 
 def brute_force(text: str | None, items: list[tuple], size: int = WINDOW) -> tuple[int, int, list[str], str]:

@@ -24,7 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # Else each of the many state partitions reserves megabytes for its manifest and logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

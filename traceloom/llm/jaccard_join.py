@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import FILE, LOCATOR, ROW, Bits, counted, ddl, fetch, located, spread_join, stored, without
+from traceloom.llm.common import FILE, LOCATOR, ROW, Bits, counted, ddl, fetch, located, slices, spread_join, stored, text_batches, without
 from traceloom.llm.components import components
 from traceloom.llm.decontamination import words_of
 
@@ -38,7 +38,7 @@ BANDS, ROWS, STEP, TOLERANCE = 36, 5, 20, 1e-7
 #: Classes in a block of a component and rows in a cell of components; the same of buckets.
 BLOCK, CELL, WIDE, WIDE_CELL = 512, 400, 2048, 4000
 SMALL = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _rng = np.random.default_rng(20240501)
 WEIGHTS = _rng.integers(1, 2**63, WORDS).astype(np.uint64) | np.uint64(1)
 FACTOR = _rng.integers(1, 2**32, (1, BANDS * ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -250,7 +250,7 @@ def describe(docs: DataFrame, text_col: str) -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             key, size, found = [], [], []
             for text in batch.column(text_col):
                 s = shingles(text.as_py())
@@ -264,7 +264,7 @@ def describe(docs: DataFrame, text_col: str) -> DataFrame:
             own = [pa.array(key, pa.binary()), pa.array(size, pa.int64()), bands, sig]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *own], names=[*others, "key", "n_shingles", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"{ddl(docs, text_col)}, key binary, n_shingles long, bands array<long>, sig binary")
+    return text_batches(docs).mapInArrow(run, f"{ddl(docs, text_col)}, key binary, n_shingles long, bands array<long>, sig binary")
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def with_sets(rows: DataFrame) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), sets], names=[*others, "set"])
 

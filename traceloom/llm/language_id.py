@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import bounded_sample, id_bucket, stored
+from traceloom.llm.common import bounded_sample, id_bucket, slices, stored, text_batches
 
 BITS, ORDERS, SAMPLE, MOST_FEATURES = 15, (1, 2, 3), 4000, 8_000_000
 PIECE = 1 << 17
@@ -107,7 +107,7 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
     def run(batches):
         df, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
-        for batch in batches:
+        for batch in slices(batches):
             last = -1
             for of, features, bounds in grams([t for t in batch.column(0).to_pylist() if t]):
                 for k, (i, j) in zip(of.tolist(), bounds.tolist(), strict=True):
@@ -148,15 +148,15 @@ def vectors(sample: DataFrame, most_features: int) -> list[tuple[str, np.ndarray
     """(language, features, shares) of the rows (lang, text, sample_hash), in the order of their hashes, up to most_features features."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [sparse(t) for t in batch.column("text").to_pylist()]
-            own = [pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
+            own = [pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), *own], names=["lang", "place", "index", "share"])
 
-    rows = stored(sample.mapInArrow(run, "lang string, place long, index array<int>, share array<float>"), "language-vectors")
-    size = F.sum(F.size("index")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = stored(sample.mapInArrow(run, "lang string, place long, index binary, share binary"), "language-vectors")
+    size = F.sum(F.octet_length("index") / 2).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     some = rows.withColumn("total", size).filter(F.col("total") <= most_features).orderBy("place")
-    return [(r[0], np.array(r[1]), np.array(r[2])) for r in some.select("lang", "index", "share").toLocalIterator()]
+    return [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in some.select("lang", "index", "share").toLocalIterator()]
 
 
 def follow_the_leader(data, labels, n_labels: int, idf, epochs=3, alpha=0.5, beta=1.0, l1=2e-4, l2=1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def judged(model: Model, texts: list[str | None], known: list[bool]) -> tuple[li
 
 
 def train_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return train(docs.filter(id_bucket(id_col, 4) != 2), id_col, text_col, lang_col)
+    return train(text_batches(docs).filter(id_bucket(id_col, 4) != 2), id_col, text_col, lang_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(train_held_out(docs, id_col, text_col, lang_col))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             name, score = judged(shared.value, batch.column("text").to_pylist(), batch.column("known").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -246,11 +246,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     """docs whose language is recognised with a calibrated probability of at least ``least``; same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train_held_out(docs, id_col, text_col, lang_col))
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            name, score = judged(shared.value, texts, [t is not None for t in texts])
-            keep = [n != "und" and s >= least for n, s in zip(name, score, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def recognised(texts: pa.Array) -> pa.Array:
+        keep = []
+        for at in range(0, len(texts), 1000):
+            name, score = judged(shared.value, own := texts.slice(at, 1000).to_pylist(), [True] * len(own))
+            keep += [n != "und" and s >= least for n, s in zip(name, score, strict=True)]
+        return pa.array(keep, pa.bool_())
 
-    return docs.filter(letters(text_col)).mapInArrow(run, docs.schema)
+    return docs.filter(letters(text_col)).filter(recognised(F.col(text_col)))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from traceloom.llm.common import text_batches
+
 LIMITS = (2048, 512, 2048)
 GROUP_ITEMS, GROUP_TOKENS, MIN_CUT = 4096, 4 << 20, 16
 CACHE_WORDS, LONG_WORD = 500_000, 64
@@ -225,7 +227,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *(x.split()[0] for x in PIECES.split(", "))])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits=LIMITS) -> DataFrame:

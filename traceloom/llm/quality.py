@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import ddl, id_bucket, stored
+from traceloom.llm.common import ddl, id_bucket, slices, stored, text_batches
 
 THRESHOLD = 0.3
 POOL, DIAGONAL, RIDGE = 0.1, 0.05, 1e-3
@@ -67,11 +67,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(t.as_py() or "") for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, pa.list_(pa.float64()))], names=[*others, "stats"])
 
-    return docs.mapInArrow(run, f"{ddl(docs, text_col)}, stats array<double>")
+    return text_batches(docs).mapInArrow(run, f"{ddl(docs, text_col)}, stats array<double>")
 
 
 @dataclass

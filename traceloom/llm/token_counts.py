@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import counted
+from traceloom.llm.common import counted, slices, text_batches
 
 CHUNK, FANOUT = 1 << 17, 32
 LIMIT = 4096
@@ -246,7 +246,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         machine, n_long, part = transducer(path), 0, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or ""
@@ -260,7 +260,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_tokens", "text_key", "chunk", "part"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     found, seen = counted(rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, text_key long, chunk long, part string"), "token-counts", last=F.max("chunk"))
     out = found.filter("text_key is null").select("doc_id", "n_bytes", "n_tokens")
     if seen["last"] is not None:

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import bounded_sample, counted, ddl, id_bucket, stored
+from traceloom.llm.common import bounded_sample, counted, ddl, id_bucket, slices, stored, text_batches
 
 SAMPLE, SAMPLE_CHARS, TREES, DEPTH, THRESHOLD, STEMS = 5000, 50_000_000, 12, 3, 0.5, (4, 5, 6)
 PAIRS_AT_ONCE = 500_000
@@ -196,11 +196,11 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
     def run(batches):
         lexicon, strong = shared.value
         marks = WordMarks(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t.as_py() or "", marks, strong) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, pa.list_(pa.float64()))], names=[*others, "x"])
 
-    return docs.mapInArrow(run, f"{ddl(docs, text_col)}, x array<double>")
+    return text_batches(docs).mapInArrow(run, f"{ddl(docs, text_col)}, x array<double>")
 
 
 def score(
