@@ -102,7 +102,7 @@ def verdict_paired_seeds(spark, sf_dir):
 
 
 def verdict_all_pairs(spark, sf_dir):
-    """Every pair of tiers once, with the difference of their macro means."""
+    """Every pair of tiers once, with the difference of their macro means. Tiers are a handful of conditions, so a join without an equal key will do."""
     per = counts(line_trials(spark, sf_dir), "task", "tier").groupBy("tier").agg(F.avg(F.col("c_valid") / F.col("n")).alias("v"))
     a, b = per.alias("a"), per.alias("b")
     return a.join(b, F.col("a.tier") < F.col("b.tier")).select(F.col("a.tier").alias("one"), F.col("b.tier").alias("other"), F.round(F.col("a.v") - F.col("b.v"), 9).alias("d"))
