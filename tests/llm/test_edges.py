@@ -153,7 +153,13 @@ def test_large_buckets_in_blocks(spark):
 
 
 def test_windows_with_equal_first_hashes_are_told_apart(monkeypatch):
-    monkeypatch.setattr(substring_dedup, "_hashes", {w: 7 | (zlib.crc32(w) << 64) for w in (b"a", b"b", b"c")})
+    class Colliding(substring_dedup.Hashes):
+        def __missing__(self, word):
+            place = super().__missing__(word)
+            self.first[place] = 7
+            return place
+
+    monkeypatch.setattr(substring_dedup, "_hashes", Colliding())
     group = substring_dedup.Group([[b"a"] * 40, [b"b"] * 40, [b"a"] * 36])
     first, second = group.fingerprints(np.array([0, 1, 40, 80]))
     assert len(set(first.tolist())) == 1 and second[0] == second[1] == second[3] != second[2]
@@ -302,3 +308,34 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
         assert {r.doc_id for r in docs.collect()} <= want | {4, 5} and docs.count() == len(want)
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """run() against plain Python: the languages it recognises, then copies, links, windows and the library's tokens."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train_held_out(docs)
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text and re.search(r"[^\W\d_]", r.text))
+    chance = model.probabilities([t for _, t in rows]).max(1)
+    rows = [r for r, p in zip(rows, chance, strict=True) if p >= corpus_pipeline.LEAST_LANGUAGE]
+    equal = {}
+    for i, t in rows:
+        equal.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i, t))
+    rows = sorted(min(own)[1:] for own in equal.values())
+    found, _ = brute_classes([t for _, t in rows])
+    rows = [r for k, r in enumerate(rows) if found[k][1] == k]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    matcher = {" ".join(w[i : i + 10]) for _, t in items for w in [decontamination.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))] for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w.split(" ")) for w in matcher}
+    clean = []
+    for i, t in rows:
+        w = decontamination.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        if not any(" ".join(w[k : k + n]) in matcher for n in sizes for k in range(len(w) - n + 1)):
+            clean.append((i, t))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean}
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").isEmpty()

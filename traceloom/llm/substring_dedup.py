@@ -26,6 +26,8 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import FILE, ROW, located, stored
+from traceloom.llm.common import FILE, ROW, located, stored, text_batches
 
 WINDOW, LEVELS, INFORMATIVE = 35, 5, 3
-GROUP_WORDS, CACHE_WORDS = 300_000, 300_000
-U, MASK = np.uint64, 2**64 - 1
+GROUP_WORDS, CACHE_WORDS = 300_000, 100_000
+U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
 
@@ -56,14 +58,20 @@ def named(a, b):
 
 
 class Hashes(dict):
-    """Words to two independent hashes, as one number of 96 bits."""
+    """Words to places in two arrays of independent hashes, of 64 and of 32 bits."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.first, self.second = array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) | xxhash.xxh32_intdigest(word, 0x5BD1E995) << 64
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+        self[word] = place = len(self.first)
+        self.first.append(xxhash.xxh3_64_intdigest(word))
+        self.second.append(xxhash.xxh32_intdigest(word, 0x5BD1E995))
+        return place
 
 
 _hashes = Hashes()
@@ -74,9 +82,10 @@ class Group:
 
     def __init__(self, texts: list[list[bytes]]):
         self.begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        both = [_hashes[w] for t in texts for w in t]
-        self.words = np.fromiter((h & MASK for h in both), U, len(both))
-        self.second = np.fromiter((h >> 64 for h in both), U, len(both))
+        if len(_hashes) >= CACHE_WORDS:
+            _hashes.forget()
+        self.place = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(self.begins[-1]))
+        self.words = np.frombuffer(_hashes.first, U)[self.place] if len(self.place) else np.zeros(0, U)
         self.edge = np.zeros(len(self.words) + 1, bool)  # no name reaches over the edge of a text
         self.edge[self.begins] = True
 
@@ -145,7 +154,7 @@ class Group:
                 h[2 * k] = named(h[k][: len(h[k]) - k], h[k][k:])
             return named(h[32][at], named(h[2][at + 32], h[1][at + 34]))
 
-        return of(self.words), (of(self.second) >> U(32)).astype(np.uint32)
+        return of(self.words), (of(np.frombuffer(_hashes.second, U)[self.place]) >> U(32)).astype(np.uint32)
 
 
 def following(bounds: np.ndarray) -> np.ndarray:
@@ -335,7 +344,7 @@ def cut(docs: DataFrame, kind: str, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and kept_text (null unless asked for)."""
     spark = docs.sparkSession
-    rows = located(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), FILE, ROW)
+    rows = located(text_batches(docs)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), FILE, ROW)
     # As many buckets as there are input splits or shuffle partitions, so a bucket doesn't grow with the table.
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     names = stored(repeated(send_names(rows.select(FILE, ROW, "text"), buckets), with_value=True), "repeat-shared")
