@@ -82,12 +82,13 @@ def train(spark: SparkSession, table: list[tuple[str, str, int]] | None = None)
     x, y = np.zeros((len(table), BUCKETS)), np.array([r[2] for r in table], float)
     for i, buckets in rows.select("i", gram_buckets(F.col("host"), F.col("path"))).collect():
         np.add.at(x[i], buckets, 1 / np.sqrt(len(buckets)))
-    w, b, rate = np.zeros(BUCKETS), 0.0, 4.0
+    # The weights stay sums of rows, so the steps are taken on the rows' shares.
+    products, share, b, rate = x @ x.T, np.zeros(len(y)), 0.0, 4.0
     for _ in range(600):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / len(y) + 1e-4 * w)
+        error = 1 / (1 + np.exp(-(products @ share + b))) - y
+        share -= rate * (error / len(y) + 1e-4 * share)
         b -= 0.5 * error.mean()
-    return w, b
+    return x.T @ share, b
 
 
 def probability(host: Column, path: Column, weights: np.ndarray, bias: float) -> Column:
