@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import text as X
 from traceloom.operators import mutation
 from traceloom.operators.controller import Controller, check, reachable
-from traceloom.plans.invariants import MODELS, counter, latch, timer
+from traceloom.plans.invariants import MODELS, counter, timer
 from traceloom.plans.traces import KEY, scans
 from traceloom.functions import trace as T
 from traceloom.sources import records
