@@ -1,11 +1,13 @@
-"""The queries of the ten operators over the tables they are meant for, with the settings of production."""
+"""The queries of the operators over the tables they are meant for, with the settings of production."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, toxicity, url_filter
+from traceloom.llm import (
+    decontamination, divergence, exact_dedup, jaccard_join, language_id, lexical_search, mixing, packing, quality, substring_dedup, token_counts, toxicity, url_filter,
+)
 
 PACK_VOCABULARY, COUNT_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -54,6 +56,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality, op3_exact_dedup, op4_decontamination, op5_substring_dedup, op6_toxicity, op7_jaccard_join,
-        op8_url_filter, op9_packing, op10_token_counts, pipeline,
+        op8_url_filter, op9_packing, op10_token_counts, op11_mixing, op12_lexical_search, op13_divergence, pipeline,
     )
 }
 
@@ -105,4 +119,42 @@ ORACLE_SQL = {
                    WHERE g.p IS NULL GROUP BY 1)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             c AS (SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+             t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+             f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+             i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+             q AS (SELECT item_id, term, count(*) AS k, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS wt
+                   FROM i JOIN f USING (term), c GROUP BY item_id, term, df, n_all),
+             m AS (SELECT r, doc_id, 25 + (75 * len(w) * n_all) // l_all AS m FROM d, c WHERE len(w) > 0),
+             s AS (SELECT item_id, r, CAST(sum(k * wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+                   FROM q JOIN t USING (term) JOIN m USING (r) GROUP BY 1, 2),
+             o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+                   FROM s JOIN m USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             x AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS n_lang FROM x GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             own AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY 1, 2, 3),
+             c AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, k.n_lang
+                   FROM g JOIN kept k USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+             p AS (SELECT lang, source, term, n,
+                          1 + (1000000000 * CAST(n + 1 AS HUGEINT)) // CAST(sum(n) OVER w + count(*) OVER w AS HUGEINT) AS p,
+                          1 + (1000000000 * CAST(n_lang + 1 AS HUGEINT)) // CAST(sum(n_lang) OVER w + count(*) OVER w AS HUGEINT) AS q
+                   FROM c WINDOW w AS (PARTITION BY lang, source)),
+             s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+                   FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+             pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+                       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+             terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+             u AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM u WHERE part = 'pair' OR rank <= 200""",
 }
