@@ -100,7 +100,7 @@ def solve(cells: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """
     spark = cells.sparkSession
     mean = F.greatest(F.col("source_size") / F.col("n"), F.lit(1.0))
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
     # At this lambda each document is taken at least, or at most, ratio times.
     end = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.log(ratio) * F.col("mean") / F.col("least")).otherwise(0.0)
     state = sources.withColumn("mean", mean).withColumn("end", end).select(
