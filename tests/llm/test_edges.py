@@ -339,3 +339,56 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").isEmpty()
+
+
+def derived_frames(spark, tmp_path):
+    """Frames whose rows don't come straight from a file, with what they hold; texts once, twice and equal but for white space."""
+    rows = [(1, "one text here"), (2, "two of a kind"), (3, "two of a kind"), (4, "four"), (5, "fo ur")]
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    lists = str(tmp_path / "l.parquet")
+    spark.createDataFrame([([i for i, _ in rows], [t for _, t in rows])], "ids array<long>, texts array<string>").write.parquet(lists)
+    yield spark.read.parquet(lists).select(F.explode(F.arrays_zip("ids", "texts")).alias("e")).select(F.col("e.ids").alias("doc_id"), F.col("e.texts").alias("text")), rows
+    yield table.unionByName(table.select((F.col("doc_id") + 10).alias("doc_id"), "text")), rows + [(i + 10, t) for i, t in rows]
+    yield table.join(spark.range(2).withColumnRenamed("id", "k"), F.col("k") >= 0).select((F.col("doc_id") + 10 * F.col("k")).alias("doc_id"), "text"), rows + [(i + 10, t) for i, t in rows]
+    yield table.withColumn("_metadata", F.lit("own")), rows
+    table.withColumn("_metadata", F.lit("own")).write.parquet(str(tmp_path / "m.parquet"))
+    yield spark.read.parquet(str(tmp_path / "m.parquet")), rows
+
+
+def test_frames_that_are_not_files(spark, tmp_path):
+    same = lambda t: "".join(t.split())
+    for frame, rows in derived_frames(spark, tmp_path):
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(same(t), []).append((-len(t), i))
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame).collect()}
+        assert len(got) == len(rows) and all(got[i].keep_id == min(groups[same(t)])[1] and got[i].group_size == len(groups[same(t)]) for i, t in rows)
+        kept = exact_dedup.drop_copies(frame)
+        assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g)[1] for g in groups.values())
+        near = jaccard_join.keep_one(frame)
+        assert near.columns == frame.columns and len({same(r.text) for r in near.collect()}) <= near.count()
+        assert sorted(r.doc_id for r in jaccard_join.jaccard_join(frame).collect()) == sorted(i for i, _ in rows)
+        words = substring_dedup.remove_repeats(frame).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in words) == sorted((i, 0) for i, _ in rows)
+
+
+def test_toxicity_learns_nothing_from_other_documents(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)], "doc_id long, toxic int")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.score(none, labels).count() == 0
+    rows = toxicity.score(spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string"), labels).collect()
+    assert len(rows) == 2 and all(0 <= r.score <= 1 for r in rows)
+    one = toxicity.score(spark.createDataFrame([(101, "a text"), (103, "b")], "doc_id long, text string"), labels).collect()
+    assert [r.score for r in one] == [1.0, 1.0]
+
+
+def test_records_to_buckets_grow_with_values_not_with_buckets():
+    value = np.arange(1, 2001, dtype=np.uint64) * np.uint64(2**40 + 7)
+    none = np.zeros(len(value), np.uint32)
+    for buckets in (8, 10_000_000):
+        batch = substring_dedup.to_send(0, buckets, np.array([0, 2000]), ["f"], [0], value, none, np.arange(2000))
+        sent = [(b, v) for b, v in zip(batch.column("bucket").to_pylist(), batch.column("value").to_pylist(), strict=True) if b >= 0]
+        assert batch.num_rows <= min(buckets, 2000) + 1 and sum(len(v) for _, v in sent) == 8 * 2000 and len({b for b, _ in sent}) == len(sent)
+    assert substring_dedup.to_send(0, 10, np.array([0]), [], [], value[:0], none[:0], np.arange(0)).num_rows == 1

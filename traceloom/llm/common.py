@@ -58,16 +58,37 @@ def id_bucket(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
+#: Nodes of a plan that give one row for each row of what is below them, or none, and the same ones whenever they run.
+ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "View", "Relation", "LogicalRelation", "LogicalRelationWithTable")
+
+
+def straight(docs: DataFrame) -> bool:
+    """Whether each row of docs is a row of its own of some file: files are read once, and nothing repeats, joins, unites or draws rows."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while True:
+        below = plan.children()
+        if plan.nodeName().split(" ")[0] not in ROW_BY_ROW or not plan.deterministic() or below.size() > 1:
+            return False
+        if not below.size():
+            roots = list(docs.sparkSession._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.relation().location().rootPaths()))
+            return len({str(r) for r in roots}) == len(roots)
+        plan = below.apply(0)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with the file and the row in it as columns, a key of each row that also tells where its bytes are.
 
-    Rows that don't come straight from files are written to the shared folder first.
+    Rows that don't come straight from files, each from one of its own, are written to the shared folder first. A column of docs
+    that is named _metadata, too, is left alone.
     """
-    pick = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+    def placed(rows: DataFrame) -> DataFrame:
+        at = rows.metadataColumn("_metadata")
+        return rows.select("*", at["file_path"].alias(FILE), at["row_index"].alias(ROW))
+
     try:
-        return docs.select("*", *pick)
-    except AnalysisException:
-        return stored(docs, "located").select("*", *pick)
+        return placed(docs if straight(docs) else stored(docs, "located"))
+    except AnalysisException:  # files of a kind that has no row numbers
+        return placed(stored(docs, "located"))
 
 
 class Bits:

@@ -212,11 +212,9 @@ def to_send(group: int, buckets: int, begins, files, rows, value, check, place):
     value, check, place = value[head], check[head], place[head]
     to = (mixed(value) % U(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        i = order[cuts[b] : cuts[b + 1]]
-        if len(i):
-            out.append((b, group, value[i].tobytes(), check[i].tobytes(), place[i].astype(np.uint32).tobytes(), np.packbits(many[i]).tobytes(), None, None, None))
+    there, first = np.unique(to[order], return_index=True)  # buckets that get a value: with many buckets, few of them
+    for b, i in zip(there.tolist(), np.split(order, first[1:]), strict=True) if len(there) else ():
+        out.append((b, group, value[i].tobytes(), check[i].tobytes(), place[i].astype(np.uint32).tobytes(), np.packbits(many[i]).tobytes(), None, None, None))
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
     names = ["bucket", "group", "value", "check", "place", "many", "begins", "files", "rows"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -350,7 +348,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = stored(repeated(send_names(rows.select(FILE, ROW, "text"), buckets), with_value=True), "repeat-shared")
     # Both joins have the same rows on their left, dealt the same way, so Spark moves the texts once and reads them twice.
     marked = rows.join(names, [FILE, ROW], "left")
-    found = repeated(send_windows(marked.select("doc_id", "text", FILE, ROW, "extra"), buckets), with_value=False)
+    # Groups are numbered in the order of rows, which must be the same when a lost task runs again, whatever join Spark takes.
+    marked = marked.select("doc_id", "text", FILE, ROW, "extra").sortWithinPartitions(FILE, ROW)
+    found = repeated(send_windows(marked, buckets), with_value=False)
     return cut(rows.join(found, [FILE, ROW], "left"), dict(docs.dtypes)[id_col], with_text)
 
 

@@ -217,7 +217,10 @@ def score(
     if not 0 < share < 1:
         return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
     small = spark.createDataFrame(list(ids.items()), f"doc_id {dict(docs.dtypes)[id_col]}, label int")
-    labelled, seen = counted(rows.filter(~F.col("held_out")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), "toxic-labelled", n=F.count(F.lit(1)))
+    labelled, seen = counted(rows.filter(~F.col("held_out")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), "toxic-labelled", n=F.count(F.lit(1)), toxic=F.sum("label"))
+    share = (seen["toxic"] or 0) / seen["n"] if seen["n"] else share
+    if not 0 < (seen["toxic"] or 0) < seen["n"]:  # labels of other documents, or of one class, teach nothing
+        return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
     taught = bounded_sample(labelled, "doc_id", sample, seen["n"])
     place = Window.orderBy(F.xxhash64("doc_id", F.lit("order")), F.xxhash64("text"))
     sized = taught.select("doc_id", "text", "label", F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(place).alias("chars"))
