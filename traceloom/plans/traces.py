@@ -177,10 +177,10 @@ ORACLE_SQL = {
     "trace_edge_counter": f"""WITH {S}, e AS (SELECT *, pulse AND NOT coalesce(lag(pulse) {W}, FALSE) AND NOT reset AS edge, sum(CASE WHEN reset THEN 1 ELSE 0 END) {W} AS g FROM s),
         c AS (SELECT event_id, CAST(least({COUNTER_CAP}, sum(CASE WHEN edge THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id)) AS INTEGER) AS n FROM e)
         SELECT event_id, n, n >= {COUNTER_CAP} AS "full" FROM c""",
-    "trace_generated": f"""WITH r AS (SELECT s_suppkey, t AS trace, k AS scan FROM supplier, range(7) a(t), range({N_SCANS}) b(k)),
+    "trace_generated": f"""WITH r AS (SELECT s_suppkey, CAST(t AS INTEGER) AS trace, CAST(k AS INTEGER) AS scan FROM supplier, range(7) a(t), range({N_SCANS}) b(k)),
         w AS (SELECT *, {HASH.format(p="'f:' || s_suppkey || ':' || trace || ':' || scan")} % 100 < {FLIP} AS flip, {HASH.format(p="'b:' || s_suppkey || ':' || trace")} % 2 AS b,
               CASE WHEN scan = 0 OR {HASH.format(p="'r:' || s_suppkey || ':' || trace || ':' || scan")} % 100 < {REDRAW} THEN {HASH.format(p="'n:' || s_suppkey || ':' || trace || ':' || scan")} % 6 END AS fresh FROM r WHERE trace < 3)
-        SELECT s_suppkey, trace, scan, (b + count(*) FILTER (flip) OVER o) % 2 = 1 AS a, last_value(fresh IGNORE NULLS) OVER o AS n FROM w WINDOW o AS (PARTITION BY s_suppkey, trace ORDER BY scan ROWS UNBOUNDED PRECEDING)
+        SELECT s_suppkey, trace, scan, (b + count(*) FILTER (flip) OVER o) % 2 = 1 AS a, CAST(last_value(fresh IGNORE NULLS) OVER o AS INTEGER) AS n FROM w WINDOW o AS (PARTITION BY s_suppkey, trace ORDER BY scan ROWS UNBOUNDED PRECEDING)
         UNION ALL SELECT s_suppkey, trace, scan, CASE trace WHEN 3 THEN true WHEN 4 THEN scan % 2 = 0 WHEN 5 THEN scan < {N_SCANS // 2} ELSE scan >= {N_SCANS // 2} END,
             CASE WHEN trace = 4 THEN scan % 6 WHEN trace = 3 OR (trace = 5) = (scan < {N_SCANS // 2}) THEN 5 ELSE 0 END FROM r WHERE trace >= 3""",
     "trace_up_down_counter": f"""WITH RECURSIVE {S}, o AS (SELECT user_id, row_number() {W} AS i, pulse, "start" FROM s),
