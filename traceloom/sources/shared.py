@@ -49,6 +49,23 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in one piece, wherever the path is: written beside and renamed, so that readers see all of it or nothing."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    beside = hadoop.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"can't rename to {path}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end all intermediate tables made inside; what was made inside must have been written or collected by then."""
