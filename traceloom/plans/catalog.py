@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from traceloom.plans import invariants, programs, reports, sets, traces, verdicts
+from traceloom.plans import differences, invariants, programs, reports, sets, timelines, traces, verdicts
 
-MODULES = (traces, verdicts, invariants, programs, sets, reports)
+MODULES = (traces, differences, timelines, verdicts, invariants, programs, sets, reports)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
