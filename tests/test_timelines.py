@@ -167,3 +167,27 @@ def test_bitmaps_of_branches(spark):
 
 def test_the_resumed_query_has_rows_of_both_runs(spark, sf_dir):
     assert {r.run for r in timelines.sink_resumed(spark, sf_dir).select("run").distinct().collect()} == {1, 2}
+
+
+def test_sums_and_neighbours_along_an_order(spark):
+    from traceloom.operators import ranges
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), i, rng.randint(0, 9)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k long, i long, v long").repartition(6)
+    total, want = 0, {}
+    for k, i, v in sorted(rows):
+        want[i] = total
+        total += v
+    assert {r.i: r.s for r in ranges.running(frame, [F.asc("k"), F.asc("i")], s=F.col("v")).collect()} == want
+    for falling in (False, True):
+        own, want = {}, {}
+        for k, i, v in sorted(rows, key=lambda r: r[1], reverse=falling):
+            want[i] = own.get(k, 0)
+            own[k] = want[i] + v
+        assert {r.i: r.s for r in ranges.running_in_blocks(frame, ["k"], "i", 64, "s", F.col("v"), falling).collect()} == want
+    keys = {k: sorted(i for q, i, _ in rows if q == k) for k in (1, 2, 3)}
+    after = {i: own[(p + 1) % len(own)] for own in keys.values() for p, i in enumerate(own)}
+    assert {r.i: r.n for r in ranges.with_next(frame, "k", "i", "n", around=True).collect()} == after
+    assert {r.i for r in ranges.with_next(frame, "k", "i", "n").filter("n is null").collect()} == {own[-1] for own in keys.values()}
+    assert ranges.with_next(frame.limit(0), "k", "i", "n").count() == 0 and ranges.running(frame.limit(0), [F.asc("i")], s=F.col("v")).count() == 0

@@ -198,6 +198,16 @@ def task_prompt(spec: Column, interface: Column, rules: Column) -> Column:
     )
 
 
+def file_name(spec: Column) -> Column:
+    """A model's spec, ``provider:model``, as the name of the file that holds its results."""
+    return F.concat(F.translate(spec, ":/", "__"), F.lit(".json"))
+
+
+def display_name(spec: Column) -> Column:
+    """The last part of a model's name with its provider behind."""
+    return F.concat(F.split_part(F.split_part(spec, F.lit(":"), F.lit(-1)), F.lit("/"), F.lit(-1)), F.lit(" ("), F.split_part(spec, F.lit(":"), F.lit(1)), F.lit(")"))
+
+
 def constrained(prompt: Column, block: str) -> Column:
     return F.concat(prompt, F.lit(block))
 

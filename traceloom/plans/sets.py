@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.ranges import running, with_next
 from traceloom.sources.records import first_given, not_done
 from traceloom.sources.tables import table
 
@@ -50,21 +51,16 @@ def set_top_spread(spark, sf_dir):
 
 
 def set_stride_sample(spark, sf_dir):
-    """Every so-manieth part by key order: places floor(i * n / STRIDE). Ranks come from counts of key ranges, not from one sorted task."""
+    """Every so-manieth part by key order: places floor(i * n / STRIDE). Places are running sums over ranges of keys, not from one sorted task."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     n = parts.count()
     places = F.array(*(F.lit(i * n // STRIDE) for i in range(STRIDE)))
-    block = F.floor(F.col("p_partkey") / 1024)
-    before = parts.groupBy(block.alias("block")).count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = parts.withColumn("block", block).withColumn("own", F.row_number().over(Window.partitionBy("block").orderBy("p_partkey"))).join(before, "block")
-    return ranked.filter(F.array_contains(places, F.col("before") + F.col("own") - 1)).select("p_partkey", "p_name")
+    return running(parts, [F.asc("p_partkey")], place=F.lit(1)).filter(F.array_contains(places, F.col("place").cast("int"))).select("p_partkey", "p_name")
 
 
 def set_neighbour(spark, sf_dir):
     """Each customer of a nation with the next one by key, the last with the first: no one is their own neighbour where there are two."""
-    w = Window.partitionBy("c_nationkey")
-    own = w.orderBy("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.lead("c_custkey").over(own), F.min("c_custkey").over(w)).alias("neighbour"))
+    return with_next(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", "neighbour", around=True).select("c_custkey", "neighbour")
 
 
 def set_tier_order(spark, sf_dir):
