@@ -106,8 +106,8 @@ def test_text(spark):
     assert one(spark, X.shown_trace(F.lit(" " + "t" * 1600))) == "t" * 1500 + "\n... (trace truncated)"
     parts = [F.lit(x) for x in ("ask", "code", "P1", "never", "trace", "other")]
     prompts = {k: one(spark, X.repair_prompt(k, *parts)) for k in X.FEEDBACK}
-    assert "trace" in prompts["full"] and "other" in prompts["shuffle"] and "P1 (never)" in prompts["proponly"] and "P1" not in prompts["erroronly"]
-    head = prompts["nocex"].index("Return")
+    assert "trace" in prompts["full"] and "other" in prompts["shuffle"] and "P1: never" in prompts["proponly"] and "P1" not in prompts["erroronly"]
+    head = prompts["nocex"].index("[task]")
     assert all(p[:head] == prompts["nocex"][:head] for p in prompts.values())
     statuses = lambda *s: F.array(*map(F.lit, s))
     yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")

@@ -27,12 +27,16 @@ def without_comments(code: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(code, r"(?s)\(\*.*?\*\)", " "), r"//[^\n]*", " ")
 
 
+# Where a reply's program is. The text of its first fenced block, and in that the span from PROGRAM to END_PROGRAM in any case.
+FENCED = rf"(?s)```{FENCE_INFO}\s*\n(.*?)```"
+SPAN = r"(?is)PROGRAM\b.*?\bEND_PROGRAM"
+
+
 def program_of(reply: Column) -> Column:
     """The program in a reply: of its first fenced block (even if that is empty), or else of the whole text, from PROGRAM to END_PROGRAM,
     or else all of it, trimmed."""
-    block = rf"(?s)```{FENCE_INFO}\s*\n(.*?)```"
-    body = F.when(reply.rlike(block), F.regexp_extract(reply, block, 1)).otherwise(reply)
-    span = F.regexp_extract(body, r"(?is)PROGRAM\b.*?\bEND_PROGRAM", 0)
+    body = F.when(reply.rlike(FENCED), F.regexp_extract(reply, FENCED, 1)).otherwise(reply)
+    span = F.regexp_extract(body, SPAN, 0)
     return trimmed(F.when(span == "", body).otherwise(span))
 
 
@@ -218,17 +222,17 @@ def shown_trace(trace: Column, limit: int = 1500) -> Column:
     return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit), F.lit(CUT_MARK))).otherwise(plain)
 
 
+REPAIR_TASK = "Write this program anew so that all its properties hold. Answer with the program alone."
 FEEDBACK = ("full", "nocex", "proponly", "erroronly", "shuffle")
 
 
 def repair_prompt(kind: str, prompt: Column, code: Column, property_id: Column, meaning: Column, trace: Column, other_trace: Column | None = None) -> Column:
-    """A prompt with a failing attempt and feedback of a kind: the trace (full, or shuffle: that of another item), nothing (nocex), the
-    property alone (proponly) or that there was an error (erroronly). All kinds differ in the feedback only."""
-    head = F.concat(prompt, F.lit("\n\n---\nThis attempt failed verification:\n\n"), code, F.lit("\n\n"))
-    tail = F.lit("Return a corrected program that satisfies all safety properties, and nothing else.")
-    broken = F.concat(F.lit("It breaks safety property "), property_id, F.lit(" ("), meaning, F.lit(")"))
+    """A prompt in sections: what was asked, the program that failed, what is said of it, what to do. Kinds differ in the third section only: the finding
+    with its trace (full, or shuffle: the trace of another item), no section (nocex), the finding alone (proponly), or that there is one (erroronly)."""
+    section = lambda name, *parts: F.concat(F.lit(f"\n\n[{name}]\n"), *parts)
+    finding = section("finding", property_id, F.lit(": "), meaning)
+    said = {"nocex": F.lit(""), "proponly": finding, "erroronly": section("finding", F.lit("there is one"))}
     if kind in ("full", "shuffle"):
         own = trace if kind == "full" or other_trace is None else F.coalesce(F.nullif(other_trace, F.lit("")), trace)
-        return F.concat(head, broken, F.lit(" with this counterexample:\n\n"), shown_trace(own), F.lit("\n\n"), tail)
-    feedback = {"nocex": F.lit(""), "proponly": F.concat(broken, F.lit(". ")), "erroronly": F.lit("The checker reported a violation, without a trace. ")}
-    return F.concat(head, feedback[kind], tail)
+        said[kind] = F.concat(finding, section("trace", shown_trace(own)))
+    return F.concat(prompt, section("program", code), said[kind], section("task", F.lit(REPAIR_TASK)))

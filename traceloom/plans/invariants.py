@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import trace as T
 from traceloom.operators.controller import Controller, check, reachable, run_traces, vacuous
 from traceloom.plans.traces import ALARM, KEY, S, scans
+from traceloom.sources.tables import table
 
 
 def latch(first: str) -> Controller:
@@ -42,23 +43,27 @@ MODELS = {
 }
 
 
-def over_models(find):
-    return reduce(lambda a, b: a.unionByName(b), [find(*m).withColumn("model", F.lit(k)) for k, m in MODELS.items()])
+def over_models(spark, sf_dir, find):
+    """What find gives for each model, for all suppliers that use it; a supplier's nation says which model that is. A model is searched once."""
+    found = reduce(lambda a, b: a.unionByName(b), [find(*m).withColumn("model", F.lit(k)) for k, m in MODELS.items()])
+    names = F.array(*map(F.lit, MODELS))
+    users = table(spark, sf_dir, "supplier").select("s_suppkey", F.get(names, F.pmod("s_nationkey", F.lit(len(MODELS))).cast("int")).alias("model"))
+    return users.join(found, "model")
 
 
 def invariant_verdicts(spark, sf_dir):
     """Verdicts of all models with the lengths of shortest counterexamples."""
-    return over_models(lambda c, always, then: check(spark, c, always, then).select("property", "status", "length"))
+    return over_models(spark, sf_dir, lambda c, always, then: check(spark, c, always, then).select("property", "status", "length"))
 
 
 def invariant_states(spark, sf_dir):
     """Reachable states of each model and the round in which each is first met."""
-    return over_models(lambda c, always, then: reachable(spark, c).select(F.to_json("state").alias("state"), "round"))
+    return over_models(spark, sf_dir, lambda c, always, then: reachable(spark, c).select(F.to_json("state").alias("state"), "round"))
 
 
 def invariant_vacuity(spark, sf_dir):
     """Properties that a controller which does nothing has as well."""
-    return over_models(lambda c, always, then: vacuous(spark, c, always))
+    return over_models(spark, sf_dir, lambda c, always, then: vacuous(spark, c, always))
 
 
 def trace_fold_against_window(spark, sf_dir):
@@ -97,15 +102,16 @@ VERDICTS = " UNION ALL ".join([
     sql_verdict("timer_2", "q -> run", "(SELECT d, v, v AND et + 1 >= 2 AS n FROM t2, b)", "n AND NOT v", 1),
 ])
 
+USERS = f"(SELECT s_suppkey, ([{', '.join(f"'{k}'" for k in MODELS)}])[CAST(s_nationkey % {len(MODELS)} AS BIGINT) + 1] AS model FROM supplier)"
 ORACLE_SQL = {
-    "invariant_verdicts": f"WITH RECURSIVE {SEARCH} {VERDICTS}",
+    "invariant_verdicts": f"WITH RECURSIVE {SEARCH}, v AS ({VERDICTS}) SELECT * FROM {USERS} JOIN v USING (model)",
     "invariant_states": f"""WITH RECURSIVE {SEARCH}, a AS (
         SELECT 'latch_set' AS model, '{{"q":' || q || '}}' AS state, d FROM ls UNION ALL SELECT 'latch_reset', '{{"q":' || q || '}}', d FROM lr
         UNION ALL SELECT 'counter_3', '{{"c":' || c || '}}', d FROM c3 UNION ALL SELECT 'counter_4', '{{"c":' || c || '}}', d FROM c4
         UNION ALL SELECT 'timer_2', '{{"et":' || et || ',"q":' || q || '}}', d FROM t2)
-        SELECT model, state, CAST(min(d) AS INTEGER) AS round FROM a GROUP BY 1, 2""",
-    "invariant_vacuity": """SELECT * FROM (VALUES ('counter_3', 'c <= 3', TRUE), ('counter_3', 'c >= 0', TRUE), ('counter_4', 'c <= 3', TRUE), ('counter_4', 'c >= 0', TRUE),
-        ('latch_reset', 'reset -> !q', TRUE), ('latch_set', 'reset -> !q', TRUE), ('timer_2', 'q -> run', TRUE)) v(model, property, vacuous)""",
+        SELECT * FROM {USERS} JOIN (SELECT model, state, CAST(min(d) AS INTEGER) AS round FROM a GROUP BY 1, 2) USING (model)""",
+    "invariant_vacuity": f"""SELECT * FROM {USERS} JOIN (VALUES ('counter_3', 'c <= 3', TRUE), ('counter_3', 'c >= 0', TRUE), ('counter_4', 'c <= 3', TRUE), ('counter_4', 'c >= 0', TRUE),
+        ('latch_reset', 'reset -> !q', TRUE), ('latch_set', 'reset -> !q', TRUE), ('timer_2', 'q -> run', TRUE)) v(model, property, vacuous) USING (model)""",
     "trace_fold_against_window": f"WITH {S}, {ALARM} SELECT user_id, count(*) AS n_scans, count(*) FILTER (alarm) AS n_alarm, CAST(0 AS BIGINT) AS n_differ FROM a GROUP BY 1",
 }
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}

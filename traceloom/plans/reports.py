@@ -169,7 +169,8 @@ def flips():
 
 
 def audit_boundary(spark, sf_dir):
-    """Flips of verdicts between two readings of a boundary, by tier; each distinct unit is scored once and joined back."""
+    """Flips of verdicts between two readings of a boundary, by tier; each distinct unit is scored once and joined back.
+    Verdicts are stand-ins: lengths of texts modulo small numbers."""
     rows, scored = units(spark, sf_dir)
     inv, scen, valid = flips()
     known = lambda a, b, *more: ~(F.col(a).isin("pass", "fail", *more) & F.col(b).isin("pass", "fail", *more))
@@ -181,7 +182,8 @@ def audit_boundary(spark, sf_dir):
 
 
 def audit_cells(spark, sf_dir):
-    """Flips by cell (language), the tasks that have any, and how far they can move a mean over all samples or tasks of the cell."""
+    """Flips by cell (language), the tasks that have any, and how far they can move a mean over all samples or tasks of the cell.
+    Verdicts are stand-ins: lengths of texts modulo small numbers."""
     rows, scored = units(spark, sf_dir)
     changed = scored.filter((F.col("inv_std") != F.col("inv_var")) | (F.col("scen_std") != F.col("scen_var")))
     inv, _, valid = flips()
@@ -239,7 +241,7 @@ def report_scenarios(spark, sf_dir):
 
 
 def report_idle(spark, sf_dir):
-    """Degenerate controllers by mode and tier, and by mode alone: what holds when outputs are held off, held on or left alone."""
+    """Degenerate controllers by mode and tier, and by mode alone: what holds when outputs are held off, held on or left alone. Verdicts are stand-ins, taken from order lines."""
     per = verdicts.line_trials(spark, sf_dir).groupBy("task", "tier").agg(F.bool_or("invariant").alias("a"), F.bool_and("scenario").alias("b"), F.bool_or("valid").alias("c"))
     modes = F.explode(F.array(F.struct(F.lit("all-off").alias("mode"), F.lit(True).alias("compile"), F.lit(True).alias("inv"), F.col("b").alias("scen")), F.struct(F.lit("all-on").alias("mode"), F.lit(True).alias("compile"), (~F.col("a")).alias("inv"), F.col("c").alias("scen")), F.struct(F.lit("empty-body").alias("mode"), F.col("a").alias("compile"), F.col("a").alias("inv"), F.lit(False).alias("scen"))))  # noqa: E501
     rows = per.select("tier", modes.alias("m")).select("tier", "m.*")
@@ -251,7 +253,7 @@ def report_idle(spark, sf_dir):
 
 
 def report_mutants(spark, sf_dir):
-    """Mutants of the parts' programs by rule and over all: what two checks kill, and what only one or none does."""
+    """Mutants of the parts' programs by rule and over all: what two checks kill, and what only one or none does. The kills are stand-ins: digits of a mutant's digest."""
     rows = mutation.mutants(programs.parts(spark, sf_dir).select("id", "code"))
     digest = F.md5(F.col("mutant").cast("binary"))
     scored = rows.select("rule", X.balanced(F.col("mutant")).alias("compiles"), (F.substring(digest, 1, 1) < "a").alias("kills_a"), (F.substring(digest, 2, 1) < "8").alias("kills_b"))
@@ -304,7 +306,8 @@ def ask():
 
 
 def data_repairs(spark, sf_dir):
-    """Training pairs: each verified program for its prompt, and its first bug that breaks a property, with feedback, for the program."""
+    """Training pairs: each verified program for its prompt, and its first bug that breaks a property, with feedback, for the program.
+    Which programs are verified and what a bug breaks are stand-ins: the id's last digit, and digits of the bug's digest."""
     made = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     pairs = repairs(spark, sf_dir).withColumn("made", made - 1).filter("made < 1")
     prompt = X.repair_prompt("full", ask(), F.col("bug"), F.concat(F.lit("P"), "property"), meaning(), F.col("trace"))
@@ -314,7 +317,8 @@ def data_repairs(spark, sf_dir):
 
 
 def data_repair_controls(spark, sf_dir):
-    """Each first bug under five kinds of feedback; shuffled ones get the trace of the next item, the last that of the first."""
+    """Each first bug under five kinds of feedback, and the plain prompt as a set of the same size; shuffled ones get the trace of the next item, the last that of the first.
+    What the checker says of a bug is a stand-in: digits of its digest."""
     first = repairs(spark, sf_dir).groupBy("id").agg(F.min_by(F.struct("bug", "property", "trace"), "pos").alias("m")).select("id", "m.*")
     own = placed(first.select("id"), "id", "3")
     size = own.agg(F.count("*").alias("size"))
@@ -323,7 +327,8 @@ def data_repair_controls(spark, sf_dir):
     last = items.filter("place = 1").select(F.col("size").alias("place"), F.col("trace").alias("other"))
     pairs = items.join(other.filter("place > 0").unionByName(last), "place")
     args = (ask(), F.col("bug"), F.concat(F.lit("P"), "property"), meaning(), F.col("trace"), F.col("other"))
-    variants = F.explode(F.array(*(F.struct(F.lit(f"repair_{k}").alias("kind"), F.md5(X.repair_prompt(k, *args).cast("binary")).alias("prompt")) for k in X.FEEDBACK)))
+    prompts = {f"repair_{k}": X.repair_prompt(k, *args) for k in X.FEEDBACK} | {"generic_sft": ask()}
+    variants = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.md5(p.cast("binary")).alias("prompt")) for k, p in prompts.items())))
     return pairs.select("id", variants.alias("v")).select("id", "v.*")
 
 
@@ -358,17 +363,17 @@ SQL_HARD = f"""SELECT 'safety_chain' AS family, 'GEN_chain_' || a || 'e' || b ||
 
 BUGS = f"""{programs.BUGS}, q AS (SELECT id, code, unnest([1, 2, 3]) AS pos, unnest([weaken_or, flip_compare, force_true]) AS bug FROM e JOIN p USING (id) WHERE id % 10 <> 9),
     h AS (SELECT *, md5(bug) AS g FROM q WHERE bug IS NOT NULL), w AS (SELECT *, CASE WHEN g[1] < '4' THEN 1 WHEN g[2] < '8' THEN 2 WHEN g[3] < 'c' THEN 3 END AS prop, 'state 1: ' || g AS trace FROM h WHERE g[4] < 'e'),
-    f AS (SELECT *, ['stays off', 'stays bounded', 'needs a request'][prop] AS meaning, 'Write program ' || id || chr(10) || chr(10) || '---' || chr(10) || 'This attempt failed verification:' || chr(10) || chr(10) || bug || chr(10) || chr(10) AS head
+    f AS (SELECT *, ['stays off', 'stays bounded', 'needs a request'][prop] AS meaning, 'Write program ' || id || chr(10) || chr(10) || '[program]' || chr(10) || bug AS head
           FROM w WHERE prop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1)"""
-TAIL = "'Return a corrected program that satisfies all safety properties, and nothing else.'"
-BROKEN = "'It breaks safety property P' || prop || ' (' || meaning || ')'"
-SHOWN = f"head || {BROKEN} || ' with this counterexample:' || chr(10) || chr(10) || {{t}} || chr(10) || chr(10) || {TAIL}"
+TAIL = f"chr(10) || chr(10) || '[task]' || chr(10) || '{X.REPAIR_TASK}'"
+BROKEN = "chr(10) || chr(10) || '[finding]' || chr(10) || 'P' || prop || ': ' || meaning"
+SHOWN = f"head || {BROKEN} || chr(10) || chr(10) || '[trace]' || chr(10) || {{t}} || {TAIL}"
 ORACLE_SQL = {
     "data_repairs": f"""WITH {programs.P}, {BUGS} SELECT CAST(id AS VARCHAR) AS pair, 'zeroshot' AS kind, md5('Write program ' || id) AS prompt, md5(code) AS completion FROM p WHERE id % 10 <> 9
         UNION ALL SELECT id || '__repair0', 'repair', md5({SHOWN.format(t='trace')}), md5(code) FROM f""",
     "data_repair_controls": f"""WITH {programs.P}, {BUGS}, o AS (SELECT *, coalesce(lead(trace) OVER w, first_value(trace) OVER w) AS other FROM f WINDOW w AS (ORDER BY md5('3:' || id), id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-        SELECT id, unnest(['repair_full', 'repair_nocex', 'repair_proponly', 'repair_erroronly', 'repair_shuffle']) AS kind, unnest([md5({SHOWN.format(t='trace')}), md5(head || {TAIL}), md5(head || {BROKEN} || '. ' || {TAIL}),
-            md5(head || 'The checker reported a violation, without a trace. ' || {TAIL}), md5({SHOWN.format(t='other')})]) AS prompt FROM o""",
+        SELECT id, unnest(['repair_full', 'repair_nocex', 'repair_proponly', 'repair_erroronly', 'repair_shuffle', 'generic_sft']) AS kind, unnest([md5({SHOWN.format(t='trace')}), md5(head || {TAIL}), md5(head || {BROKEN} || {TAIL}),
+            md5(head || chr(10) || chr(10) || '[finding]' || chr(10) || 'there is one' || {TAIL}), md5({SHOWN.format(t='other')}), md5('Write program ' || id)]) AS prompt FROM o""",
     "report_evaluation": f"""WITH {T}, {G} SELECT task_id, count(*) AS tasks, count(error) AS api_errors, {', '.join(f"round(count(*) FILTER (category = '{c}') / count(*), 9) AS {c}_rate" for c in ('verified', 'unsafe', 'parse_error', 'compile_error', 'translate_error'))},
         round(coalesce(sum(len(list_filter(st, lambda x: x = 'pass'))) FILTER (error IS NULL) / sum(2) FILTER (error IS NULL), 0), 9) AS property_pass_rate,
         round(coalesce(sum(s_ok) FILTER (error IS NULL) / nullif(sum(s_all) FILTER (error IS NULL), 0), 0), 9) AS scenario_pass_rate,

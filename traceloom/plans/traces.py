@@ -142,13 +142,12 @@ def trace_generated(spark, sf_dir):
 
 
 def trace_timer_table(spark, sf_dir):
-    """Truth table of the timer for presets 1 to 3 over one input."""
-    signal = [1, 1, 1, 1, 1, 1, 0, 0, 1, 1]
-    rows = spark.createDataFrame([(pt, i, bool(x)) for pt in (1, 2, 3) for i, x in enumerate(signal)], "pt int, scan int, run boolean")
-    order, out = T.Order("pt", ("scan",)), None
+    """Each user's timers with presets 1 to 3 side by side: scans at which the time stands at the preset, with the output on, and with the late output on."""
+    rows, out = scans(spark, sf_dir).select("user_id", "ts", "event_id", (~F.col("trip")).alias("run")), None
     for pt in (1, 2, 3):
-        own = rows.filter(F.col("pt") == pt)
-        part = T.with_on_delay(T.with_on_delay(own, "run", pt, order), "run", pt, order, prefix="late_", delayed=True).select("pt", "scan", "et", "q", "late_q")
+        timed = T.with_on_delay(T.with_on_delay(rows, "run", pt, KEY), "run", pt, KEY, prefix="late_", delayed=True)
+        part = timed.groupBy("user_id").agg(F.sum("et").alias("total"), F.count_if(F.col("et") == pt).alias("full"), F.count_if("q").alias("on"), F.count_if("late_q").alias("late"))
+        part = part.withColumn("pt", F.lit(pt))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -196,10 +195,11 @@ ORACLE_SQL = {
     "trace_contiguous_groups": f"""WITH {S}, p AS (SELECT user_id, level, (row_number() {W} - 1) // 8 AS g FROM s),
         d AS (SELECT user_id, g, stddev_pop(level) AS sd, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 2)
         SELECT user_id, round(avg(sd), 6) AS mean_sd, count(*) FILTER (sd = 0) AS n_flat FROM d GROUP BY 1""",
-    "trace_timer_table": """WITH i AS (SELECT unnest([1, 2, 3]) AS pt), v AS (SELECT pt, CAST(u AS INTEGER) AS scan, [1,1,1,1,1,1,0,0,1,1][u + 1] = 1 AS run FROM i, (SELECT unnest(range(10)) AS u)),
-        g AS (SELECT *, sum(CASE WHEN run THEN 0 ELSE 1 END) OVER (PARTITION BY pt ORDER BY scan) AS g FROM v),
-        e AS (SELECT *, CAST(least(pt, sum(CASE WHEN run THEN 1 ELSE 0 END) OVER (PARTITION BY pt, g ORDER BY scan)) AS INTEGER) AS et FROM g)
-        SELECT CAST(pt AS INTEGER) AS pt, scan, et, run AND et >= pt AS q, run AND coalesce(lag(et) OVER (PARTITION BY pt ORDER BY scan), 0) >= pt AS late_q FROM e""",
+    "trace_timer_table": f"""WITH {S}, r AS (SELECT *, NOT trip AS run, sum(CASE WHEN trip THEN 1 ELSE 0 END) {W} AS g FROM s),
+        k AS (SELECT *, sum(CASE WHEN run THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS held FROM r),
+        p AS (SELECT *, unnest([1, 2, 3]) AS pt, coalesce(lag(held) {W}, 0) AS before FROM k)
+        SELECT user_id, CAST(pt AS INTEGER) AS pt, CAST(sum(least(pt, held)) AS BIGINT) AS total, count(*) FILTER (least(pt, held) = pt) AS full, count(*) FILTER (run AND held >= pt) AS "on",
+               count(*) FILTER (run AND before >= pt) AS late FROM p GROUP BY 1, 2""",
 }
 ORACLE_SQL["trace_coverage"] = f"""SELECT count(*) AS traces, count(*) FILTER (n_rise > 0) AS rise, count(*) FILTER (n_expire > 0) AS expire, count(*) FILTER (n_stop > 0) AS stop,
     count(*) FILTER (n_rise > 0 AND n_expire > 0 AND n_stop > 0) AS complete FROM ({ORACLE_SQL["trace_timer_events"]})"""
