@@ -26,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from traceloom.llm.common import text_batches
 
 LIMITS = (2048, 512, 2048)
+#: Tokens, conversations and loss-bearing tokens of a sequence of instruction data.
+CONVERSATION_LIMITS = (8192, 12, 5000)
 GROUP_ITEMS, GROUP_TOKENS, MIN_CUT = 4096, 4 << 20, 16
 CACHE_WORDS, LONG_WORD = 500_000, 64
 
@@ -258,3 +261,30 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], part.column(id_col).type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.bool_())], names=[id_col, "sequence_id", "offset", "oversize"])
 
     return examples.select(id_col, tokens_col, loss_col).mapInArrow(run, f"`{id_col}` {kind}, sequence_id long, offset long, oversize boolean")
+
+
+def conversation_sizes(turns: DataFrame, path: str, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", bearer: str = "assistant", end: int = 1) -> DataFrame:
+    """conv_id, tokens, loss of each conversation: a turn has its text's tokens and an end token; those of the bearer's turns bear loss. Null text is empty."""
+    kind = dict(turns.dtypes)[conv_col]
+
+    def run(batches):
+        for batch in batches:
+            own = encoder(path)
+            n = [len(own.encode(t.as_py() or "", end)) // 4 for t in batch.column(2)]
+            loss = [k if r == bearer else 0 for k, r in zip(n, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "tokens", "loss"])
+
+    sized = text_batches(turns).select(conv_col, role_col, text_col).mapInArrow(run, f"conv_id {kind}, tokens long, loss long")
+    return sized.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+
+
+def pack_conversations(turns: DataFrame, path: str, limits=CONVERSATION_LIMITS, conv_col: str = "conv_id") -> DataFrame:
+    """Whole conversations in sequences under limits on tokens, conversations and loss-bearing tokens: conv_id, tokens, loss, sequence_id, offset, oversize.
+
+    Turns without a conversation id are one conversation. Only sizes are moved. Conversations are packed in the order of their ids within each
+    task, so that a task that runs again packs alike.
+    """
+    sizes = conversation_sizes(turns, path, conv_col)
+    dealt = sizes.repartition(F.col("conv_id")).sortWithinPartitions("conv_id")
+    placed = pack_examples(dealt, "conv_id", "tokens", "loss", limits)
+    return placed.join(sizes, placed["conv_id"].eqNullSafe(sizes["conv_id"])).select(placed["conv_id"], "tokens", "loss", "sequence_id", "offset", "oversize")

@@ -52,6 +52,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_VOCABULARY))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as instruction data, under three limits that differ."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path(PACK_VOCABULARY))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY))
 
@@ -78,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality, op3_exact_dedup, op4_decontamination, op5_substring_dedup, op6_toxicity, op7_jaccard_join,
-        op8_url_filter, op9_packing, op10_token_counts, op11_mixing, op12_lexical_search, op13_divergence, pipeline,
+        op8_url_filter, op9_packing, op10_token_counts, op11_mixing, op12_lexical_search, op13_divergence, packing_conversations, pipeline,
     )
 }
 
