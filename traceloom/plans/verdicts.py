@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.metrics import pass_at_k, rate, reward
+from traceloom.operators.ranges import running
+from traceloom.sources.shared import stored
 from traceloom.sources.tables import table
 
 KS = (1, 3, 5, 10)
@@ -225,15 +227,21 @@ def hashed(salt: str, *parts):
 
 
 def hashed_draws(per, rounds: int):
-    """per (with at from 0 and size) drawn anew with replacement: for each round b and place, a hash of both picks a row. All columns of a row come together."""
+    """per (with at from 0 and size) drawn anew with replacement: for each round b and place, a hash of both picks a row. All columns of a row come together.
+
+    Each row makes its places of all rounds; what they pick is joined by number, by whatever join fits the size of per, which is a stored table.
+    """
+    spark = per.sparkSession
+    dealt = per.select("at", "size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "at")
+    places = dealt.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("b"), "at", "size")
     pick = F.pmod(hashed("0", F.col("b"), F.col("at")), F.col("size"))
-    places = per.sparkSession.range(rounds).select(F.col("id").alias("b")).crossJoin(F.broadcast(per.select("at", "size")))
-    return places.select("b", F.col("at").alias("place"), pick.alias("at")).join(F.broadcast(per.drop("size")), "at")
+    return places.select("b", F.col("at").alias("place"), pick.alias("at")).join(per.drop("size"), "at")
 
 
 def numbered(per, key: str):
-    """per with at, from 0 by the key, and size. Tasks are few, as a person wrote each: one task numbers them."""
-    return per.select("*", (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("size"))
+    """per, stored, with at, from 0 by the key, and size. Ranges of the key are numbered apart."""
+    rows = stored(per, "tasks")
+    return stored(running(rows, [F.asc(key)], at=F.lit(1)).withColumns({"at": F.col("at").cast("long"), "size": F.lit(rows.count()).cast("long")}), "tasks")
 
 
 def intervals(means, rounds: int, *metrics: str):
