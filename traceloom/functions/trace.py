@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.sources.shared import stored
+
 
 @dataclass(frozen=True)
 class Order:
@@ -68,24 +69,28 @@ def scans_of(df: DataFrame, order: Order, *columns: str) -> DataFrame:
     return df.groupBy(order.key).agg(packed.alias("scans"))
 
 
-def with_up_down_counter(df: DataFrame, up: Column, down: Column, cap: int, order: Order, name: str = "count") -> DataFrame:
+def with_up_down_counter(df: DataFrame, up: Column, down: Column, cap: int, order: Order, name: str = "count", width: int = 256) -> DataFrame:
     """df with a count clamped to 0..cap on either side after each scan, which no window aggregate gives.
 
-    Each task sorts its traces (on disk if need be) and steps through them a batch at a time, with the count of one trace carried on.
+    What some scans in a row do to a count x is least(high, greatest(low, x + shift)), whichever scans they are. So blocks of ``width`` scans are
+    summed up as three numbers each, a trace's blocks give the count that each of them starts with, and blocks are then stepped through apart: of a
+    long trace a task holds a block's rows or three numbers a block. Columns of df must be of types that can be ordered.
     """
-    rows = df.withColumn(name, F.coalesce(up, F.lit(False)).cast("int") - F.coalesce(down, F.lit(False)).cast("int"))
-
-    def run(batches):
-        trace, n = object(), 0
-        for batch in batches:
-            counts = []
-            for key, step in zip(batch.column(order.key).to_pylist(), batch.column(name).to_pylist(), strict=True):
-                n = min(cap, max(0, (n if key == trace else 0) + step))
-                trace = key
-                counts.append(n)
-            yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(counts, pa.int32()))
-
-    return rows.repartition(order.key).sortWithinPartitions(order.key, *order.by).mapInArrow(run, rows.schema)
+    delta = F.coalesce(up, F.lit(False)).cast("int") - F.coalesce(down, F.lit(False)).cast("int")
+    clamp = lambda x: F.least(F.lit(cap), F.greatest(F.lit(0), x))
+    placed = df.select(F.col(order.key).alias("__key"), (F.row_number().over(order.window) - 1).alias("i"), delta.alias("d"), F.struct(*df.columns).alias("row"))
+    packed = placed.groupBy("__key", F.floor(F.col("i") / width).alias("__block")).agg(F.array_sort(F.collect_list(F.struct("i", "d", "row"))).alias("scans"))
+    packed = stored(packed, "blocks")
+    same = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(cap).alias("high"))
+    summed = F.aggregate("scans", same, lambda f, s: F.struct((f["shift"] + s["d"]).alias("shift"), clamp(f["low"] + s["d"]).alias("low"), clamp(f["high"] + s["d"]).alias("high")))
+    blocks = packed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__block", summed.alias("f")))).alias("blocks"))
+    ends = stepped(F.col("blocks"), F.lit(0), lambda b, n: F.least(b["f"]["high"], F.greatest(b["f"]["low"], n + b["f"]["shift"])), "int")
+    begun = blocks.withColumn("ends", ends).select("__key", F.posexplode("blocks").alias("k", "b"), "ends")
+    begun = begun.select(F.col("__key").alias("__of"), F.col("b.__block").alias("__at"), F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0).alias("__start"))
+    met = packed.join(begun, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__at")))
+    counts = stepped(F.col("scans"), F.col("__start"), lambda s, n: clamp(n + s["d"]), "int")
+    each = met.select("scans", counts.alias("counts")).select(F.explode(F.arrays_zip("scans", "counts")).alias("x"))
+    return each.select("x.scans.row.*", F.col("x.counts").alias(name))
 
 
 def stepped(scans: Column, start: Column, step, kind: str, width: int = 256) -> Column:
