@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.llm import divergence, lexical_search, mixing
+from traceloom.llm import divergence, lexical_search, mixing, packing
 
 CLASHES = "key size salt mark part place start target rate rank item value term words first n n_docs total at m terms times score held own".split()
 SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
@@ -187,6 +188,7 @@ def plain_audit(docs, least=3, most=200):
 
 def test_audit_on_awkward_rows(awkward, empty):
     got = sorted(map(tuple, divergence.audit(awkward).collect()))
+    assert got == sorted(map(tuple, divergence.audit(awkward, few_groups=0).collect()))
     assert got == plain_audit([r[1:] for r in ROWS]) and any(r[0] == "fr" and r[4] == 0 for r in got)
     assert divergence.audit(empty).count() == 0
 
@@ -199,3 +201,34 @@ def test_audit_cuts_ranks(documents):
 def test_shares_of_counts_beyond_64_bits(spark):
     row = spark.createDataFrame([(10**13, 3 * 10**13, 5)], "n long, total long, n_kept long").select(divergence.share("n", "total")).first()[0]
     assert row == 1 + (10**9 * (10**13 + 1)) // (3 * 10**13 + 5)
+
+
+def test_conversations_keep_three_limits(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("tokens", F.lit("clash"))
+    odd = spark.createDataFrame([(None, 0, "assistant", "nobody's"), (-1, 0, None, None), (-2, 0, "assistant", "word " * 1500), (-3, 0, "user", "word " * 3000)], "conv_id long, turn long, role string, text string")
+    turns = table.drop("tokens").unionByName(odd)
+    own = Tokenizer.from_file(path)
+    size = {}
+    for r in turns.collect():
+        n = len(own.encode(r.text or "", add_special_tokens=False).ids) + 1
+        t, loss = size.get(r.conv_id, (0, 0))
+        size[r.conv_id] = (t + n, loss + n * (r.role == "assistant"))
+    got = packing.pack_conversations(turns.withColumn("tokens", F.lit("clash")), path, (2048, 8, 1024)).collect()
+    assert len(got) == len(size) and all((r.tokens, r.loss) == size[r.conv_id] for r in got)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    for rows in bins.values():
+        if rows[0].oversize:
+            assert len(rows) == 1 and (rows[0].tokens > 2048 or rows[0].loss > 1024)
+            continue
+        assert sum(r.tokens for r in rows) <= 2048 and len(rows) <= 8 and sum(r.loss for r in rows) <= 1024
+        end = 0
+        for r in sorted(rows, key=lambda r: (r.offset, r.tokens)):
+            assert r.offset == end
+            end += r.tokens
+    assert {r.conv_id for r in got if r.oversize} >= {-2, -3}
+    assert packing.pack_conversations(turns.limit(0), path).count() == 0

@@ -5,8 +5,8 @@ its documents hold. All its sources get all of them, with zero where they have n
 as a whole has one, too. A self-join on language and term compares sources: the sum of (p - q)^2 / q over all kept terms. And each source
 is listed with the terms it uses more than its language does.
 
-A few languages and sources hold all rows, so joins on them deal the terms out by hash as well, and rankings are cut down within
-parts of the terms first. Words meet in partial sums before they are moved. Shares are of a thousand million.
+A few languages and sources hold all rows, so joins on them send the groups about, as long as they are few (``FEW_GROUPS``), or else deal
+the terms out by hash as well, and rankings are cut down within parts of the terms first. Words meet in partial sums before they are moved. Shares are of a thousand million.
 
 Cases: null text, language or source count as empty text, which is a language or a source like others; groups without terms have zero
 everywhere; a language without kept terms has value 0 in its pairs and no terms; repeated rows are documents of their own, ids don't
@@ -18,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import stored
+from traceloom.llm.common import counted, stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: splitting by it costs a fraction of extracting the terms, and gives the same ones besides empty ends.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, MOST_RANK = 3, 200
 SHARES = 1_000_000_000
+#: Groups of language and source, three short columns each, that may be sent to all tasks.
+FEW_GROUPS = 10_000
 #: Parts into which the terms of one language or source are dealt.
 PARTS = 64
 
@@ -37,6 +40,13 @@ def to_parts(small: DataFrame) -> DataFrame:
     return small.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str, few: bool) -> DataFrame:
+    """rows joined with a table of groups, of which each is wanted by a large share of the rows."""
+    if few:
+        return rows.join(F.broadcast(groups), on)
+    return rows.withColumn("part", dealt(spread)).join(to_parts(groups), [*on, "part"]).drop("part")
+
+
 def group_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """lang, source, term, n (occurrences) and n_docs (documents with it), of all terms that occur.
 
@@ -44,44 +54,59 @@ def group_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     """
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     text = F.translate(given(text_col), UPPER, LOWER)
-    rows = docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("words"))
-    marked = F.transform("words", lambda w, i: F.struct(w.alias("term"), (~w.eqNullSafe(F.get("words", i - 1))).cast("int").alias("first")))
-    words = rows.select("lang", "source", F.inline(marked))
+    rows = docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), F.sort_array(F.split(text, BETWEEN)).alias("words"))
+    # Each text has a part, so outer changes nothing but that Spark doesn't split and sort a text once more to see whether it has one.
+    each = rows.select("lang", "source", "words", F.posexplode_outer("words").alias("pos", "term"))
+    first = F.when(F.col("term").eqNullSafe(F.get("words", F.col("pos") - 1)), 0).otherwise(1)
+    words = each.filter("term <> ''").select("lang", "source", "term", first.alias("first"))
     return words.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs"))
 
 
 def share(n: str, total: str) -> Column:
-    """1 + floor(SHARES * (n + 1) / (total + V)); in decimals, as the product may pass 64 bits."""
-    return F.expr(f"1 + (cast({SHARES} as decimal(10,0)) * cast({n} + 1 as decimal(20,0))) div ({total} + n_kept)").cast("long")
+    """1 + floor(SHARES * (n + 1) / (total + V)); where the product may pass 64 bits, in decimals."""
+    wide = f"(cast({SHARES} as decimal(10,0)) * cast({n} + 1 as decimal(20,0))) div ({total} + n_kept)"
+    return F.expr(f"1 + if({n} < {SHARES}, ({SHARES}L * ({n} + 1)) div ({total} + n_kept), {wide})").cast("long")
 
 
 def excess(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def shares(counts: DataFrame, groups: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, source, term, n, p (the source's share) and q (the language's) of each source of a language and each term it keeps."""
+def dense_counts(counts: DataFrame, groups: DataFrame, least_docs: int, few: bool) -> DataFrame:
+    """lang, source, term, n, n_lang: every source of a language with every term that the language keeps. Stored, as sums and shares both read it."""
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("d")).filter(F.col("d") >= least_docs).drop("d")
-    kept = stored(kept, "divergence-kept")
-    own = counts.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
-    of_lang = kept.groupBy("lang").agg(F.sum("n_lang").alias("total_lang"), F.count("*").alias("n_kept"))
-    of_group = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sums = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang").withColumn("total", F.coalesce("total", F.lit(0)))
-    dense = kept.withColumn("part", dealt("term")).join(to_parts(sums), ["lang", "part"]).drop("part")
-    dense = dense.join(own, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return dense.select("lang", "source", "term", "n", share("n", "total").alias("p"), share("n_lang", "total_lang").alias("q"))
+    crossed = with_groups(kept, groups, ["lang"], "term", few)
+    # One row a key on the right, and keys are spread evenly: a hash join spares the sort of both sides.
+    dense = crossed.join(counts.drop("n_docs").hint("shuffle_hash"), ["lang", "source", "term"], "left")
+    return stored(dense.select("lang", "source", "term", F.coalesce("n", F.lit(0)).alias("n"), "n_lang"), "divergence-dense")
+
+
+def shares(dense: DataFrame, few: bool) -> DataFrame:
+    """lang, source, term, n, p (the source's share) and q (the language's) of each row of dense."""
+    totals = dense.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("n_lang").alias("total_lang"), F.count("*").alias("n_kept"))
+    totals = stored(totals, "divergence-totals")
+    return with_groups(dense, totals, ["lang", "source"], "term", few).select("lang", "source", "term", "n", share("n", "total").alias("p"), share("n_lang", "total_lang").alias("q"))
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, most_rank: int = MOST_RANK) -> DataFrame:
+def audit(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, most_rank: int = MOST_RANK,
+    few_groups: int = FEW_GROUPS,
+) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources of a language, and the terms that a source uses more than its language."""
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     counts = stored(group_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    groups = stored(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source")).distinct(), "divergence-groups")
-    found = stored(shares(counts, groups, least_docs), "divergence-shares")
+    groups, seen = counted(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source")).distinct(), "divergence-groups", n=F.count(F.lit(1)))
+    few = seen["n"] <= few_groups
+    # Stored once more, so that both sides of the self-join are one exchange.
+    found = stored(shares(dense_counts(counts, groups, least_docs, few), few), "divergence-shares")
 
+    # Two sources meet once and give the pair's value both ways.
     one, other = found.select("lang", "term", "source", "p"), found.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = one.join(other, ["lang", "term"]).filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(excess(F.col("p"), F.col("q"))).alias("value"))
-    pairs = groups.withColumn("part", dealt("source")).join(to_parts(groups.withColumnRenamed("source", "item")), ["lang", "part"]).filter("source <> item").drop("part")
+    p, q = F.col("p"), F.col("q")
+    both = one.join(other.hint("shuffle_hash"), ["lang", "term"]).filter("source < item").groupBy("lang", "source", "item").agg(F.sum(excess(p, q)).alias("to"), F.sum(excess(q, p)).alias("back"))
+    ways = F.array(F.struct("source", "item", F.col("to").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    sums = both.select("lang", F.inline(ways))
+    pairs = with_groups(groups, groups.withColumnRenamed("source", "item"), ["lang"], "source", few).filter("source <> item")
     pairs = pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
     more = found.filter("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), excess(F.col("p"), F.col("q")).alias("value"), dealt("term"))
