@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import delete, new_path, spread_join, stored, stored_at
+from traceloom.operators.ranges import running, running_in_blocks
 
 BLANK = r"\x20\x09-\x0D"
 #: Parts of the documents of one source and size.
-SALTS = 4096
+SALTS, SALT_BLOCK = 4096, 64
 #: Sizes that are summed up together before blocks are.
 BLOCK = 256
 #: Whole numbers stand for copies and words in such parts.
@@ -50,26 +51,9 @@ def whole(value: Column) -> Column:
     return F.round(value).cast("decimal(38,0)")
 
 
-def running(rows: DataFrame, order: list[Column], **values: Column) -> DataFrame:
-    """rows with the sums of values over all rows before them: ranges of the order are summed apart, then their totals."""
-    part = stored(rows.repartitionByRange(*order).withColumn("at", F.spark_partition_id()), "mix-ranges")
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    totals = part.groupBy("at").agg(*(F.sum(v).alias(k) for k, v in values.items()))
-    starts = totals.select("at", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_start") for k in values))
-    own = Window.partitionBy("at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = part.select("*", *(F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"{k}_own") for k, v in values.items()))
-    return sums.join(starts, "at").select(*rows.columns, *((F.col(f"{k}_own") + F.col(f"{k}_start")).alias(k) for k in values))
-
-
 def running_down(cells: DataFrame, name: str, value: Column) -> DataFrame:
     """cells with the sum of a value over the larger sizes of their source."""
-    blocked = cells.withColumn("block", F.floor(F.col("size") / BLOCK)).withColumn("value", value)
-    above = Window.partitionBy("key").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy("key", "block").agg(F.sum("value").alias("total"))
-    starts = starts.select("key", "block", F.coalesce(F.sum("total").over(above), F.lit(0)).alias("start"))
-    own = Window.partitionBy("key", "block").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.withColumn("own", F.coalesce(F.sum("value").over(own), F.lit(0)))
-    return sums.join(starts, ["key", "block"]).select(*cells.columns, (F.col("own") + F.col("start")).alias(name))
+    return running_in_blocks(cells, ["key"], "size", BLOCK, name, value, falling=True)
 
 
 def targets(sources: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
@@ -176,8 +160,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dual = solve(cells, goal.join(sizes.select("key", "n", "least"), "key"), most)
     given = rounded(spread_join(cells, dual, "key", "size"), most, cut).withColumn("rate", rate_of(most)).drop("lam", "mean")
     # Places of a size's documents: those of the parts before, and its own in its part.
-    before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("key", "size", "salt", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("start")).join(given, ["key", "size"])
+    starts = running_in_blocks(parts, ["key", "size"], "salt", SALT_BLOCK, "start", F.col("n_part")).drop("n_part").join(given, ["key", "size"])
     own = Window.partitionBy("key", "size", "salt").orderBy("mark", "doc_id")
     placed = rows.withColumn("own", F.row_number().over(own)).join(starts, ["key", "size", "salt"]).withColumn("place", F.col("start") + F.col("own") - 1)
     each = F.expr("copies div n_docs + if(place < copies % n_docs, 1, 0)")
