@@ -5,7 +5,7 @@ its documents hold. All its sources get all of them, with zero where they have n
 as a whole has one, too. A self-join on language and term compares sources: the sum of (p - q)^2 / q over all kept terms. And each source
 is listed with the terms it uses more than its language does.
 
-A few languages and sources hold all rows, so joins on them send the groups about, as long as they are few (``FEW_GROUPS``), or else deal
+A few languages and sources hold all rows, so joins on them send the groups about, as long as they are few and short (``FEW_GROUPS``), or else deal
 the terms out by hash as well, and rankings are cut down within parts of the terms first. Words meet in partial sums before they are moved. Shares are of a thousand million.
 
 Cases: null text, language or source count as empty text, which is a language or a source like others; groups without terms have zero
@@ -25,8 +25,8 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, MOST_RANK = 3, 200
 SHARES = 1_000_000_000
-#: Groups of language and source, three short columns each, that may be sent to all tasks.
-FEW_GROUPS = 10_000
+#: Groups of language and source that may be sent to all tasks, and the bytes of their names together.
+FEW_GROUPS, FEW_BYTES = 10_000, 4_000_000
 #: Parts into which the terms of one language or source are dealt.
 PARTS = 64
 
@@ -95,8 +95,8 @@ def audit(
     """lang, source, part, item, value, rank: pairs of sources of a language, and the terms that a source uses more than its language."""
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     counts = stored(group_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    groups, seen = counted(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source")).distinct(), "divergence-groups", n=F.count(F.lit(1)))
-    few = seen["n"] <= few_groups
+    groups, seen = counted(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source")).distinct(), "divergence-groups", n=F.count(F.lit(1)), size=F.sum(F.octet_length("lang") + F.octet_length("source")))
+    few = seen["n"] <= few_groups and (seen["size"] or 0) <= FEW_BYTES
     # Stored once more, so that both sides of the self-join are one exchange.
     found = stored(shares(dense_counts(counts, groups, least_docs, few), few), "divergence-shares")
 
