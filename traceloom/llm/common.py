@@ -70,6 +70,8 @@ def straight(docs: DataFrame) -> bool:
         if plan.nodeName().split(" ")[0] not in ROW_BY_ROW or not plan.deterministic() or below.size() > 1:
             return False
         if not below.size():
+            if plan.relation().getClass().getSimpleName() != "HadoopFsRelation":  # a relation of another kind, such as a database's
+                return False
             roots = list(docs.sparkSession._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.relation().location().rootPaths()))
             return len({str(r) for r in roots}) == len(roots)
         plan = below.apply(0)
