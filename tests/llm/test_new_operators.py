@@ -198,6 +198,30 @@ def test_audit_cuts_ranks(documents):
     assert got == plain_audit([(r.text, r.lang, r.source) for r in documents.collect()], most=5)
 
 
+@pytest.mark.parametrize("few_groups", [divergence.FEW_GROUPS, 0])
+@pytest.mark.parametrize("block", [1, 2])
+def test_audit_in_blocks_of_sources(awkward, block, few_groups):
+    assert sorted(map(tuple, divergence.audit(awkward, block=block, few_groups=few_groups).collect())) == plain_audit([r[1:] for r in ROWS])
+
+
+def test_audit_holds_a_term_in_one_row(spark, documents, monkeypatch):
+    made = {}
+    monkeypatch.setattr(divergence, "stored", lambda df, name, put=divergence.stored: made.setdefault(name, put(df, name)))
+    divergence.audit(documents)
+    docs = [(r.lang or "", set(LETTERS.findall(low(r.text)))) for r in documents.collect()]
+    held = Counter((lang, w) for lang, words in docs for w in words)
+    kept = sum(n >= 3 for n in held.values())
+    assert made["divergence-dense"].count() == made["divergence-shares"].count() == kept
+
+
+def test_audit_of_many_sources_and_ties(spark):
+    sources = divergence.BLOCK * 2 + 5
+    words = ["".join(chr(97 + ord(c) - 48) for c in f"{i:04d}") for i in range(700)]
+    docs = [(" ".join([*words[s % 2 :: 2], "common"]), "x", f"s{s:03d}") for s in range(sources)] + [("common rare rare", "y", "s000")] * 3
+    got = divergence.audit(spark.createDataFrame(docs, "text string, lang string, source string"))
+    assert sorted(map(tuple, got.collect())) == plain_audit(docs) and got.filter("source = 's001' and part = 'term'").count() == 200
+
+
 def test_shares_of_counts_beyond_64_bits(spark):
     row = spark.createDataFrame([(10**13, 3 * 10**13, 5)], "n long, total long, n_kept long").select(divergence.share("n", "total")).first()[0]
     assert row == 1 + (10**9 * (10**13 + 1)) // (3 * 10**13 + 5)

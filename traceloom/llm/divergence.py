@@ -5,8 +5,12 @@ its documents hold. All its sources get all of them, with zero where they have n
 as a whole has one, too. A self-join on language and term compares sources: the sum of (p - q)^2 / q over all kept terms. And each source
 is listed with the terms it uses more than its language does.
 
+The sources of a language are numbered, and up to ``BLOCK`` of them are a block. A term's counts in a block's sources stand in one row, side by
+side, so words meet in one row a block, not one a source, and the self-join is of blocks. A language of few sources has one block.
+
 A few languages and sources hold all rows, so joins on them send the groups about, as long as they are few and short (``FEW_GROUPS``), or else deal
-the terms out by hash as well, and rankings are cut down within parts of the terms first. Words meet in partial sums before they are moved. Shares are of a thousand million.
+the terms out by hash as well. Rankings pass over terms below a value that enough others reach, and are cut down within parts of the terms first.
+Words meet in partial sums before they are moved. Shares are of a thousand million.
 
 Cases: null text, language or source count as empty text, which is a language or a source like others; groups without terms have zero
 everywhere; a language without kept terms has value 0 in its pairs and no terms; repeated rows are documents of their own, ids don't
@@ -29,6 +33,8 @@ SHARES = 1_000_000_000
 FEW_GROUPS, FEW_BYTES = 10_000, 4_000_000
 #: Parts into which the terms of one language or source are dealt.
 PARTS = 64
+#: Sources of a language, at most, whose counts of a term stand in one row.
+BLOCK = 32
 
 
 def dealt(column: str) -> Column:
@@ -47,69 +53,113 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str,
     return rows.withColumn("part", dealt(spread)).join(to_parts(groups), [*on, "part"]).drop("part")
 
 
-def group_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, term, n (occurrences) and n_docs (documents with it), of all terms that occur.
+def with_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """A row for each word, with docs' lang and whatever places its source: term, and first, which is 1 once a document and term, else 0.
 
     A document's words are sorted, so the first of equal ones is known without grouping by document.
     """
-    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    text = F.translate(given(text_col), UPPER, LOWER)
-    rows = docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), F.sort_array(F.split(text, BETWEEN)).alias("words"))
+    at = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*at, F.sort_array(F.split(F.translate(text_col, UPPER, LOWER), BETWEEN)).alias("words"))
     # Each text has a part, so outer changes nothing but that Spark doesn't split and sort a text once more to see whether it has one.
-    each = rows.select("lang", "source", "words", F.posexplode_outer("words").alias("pos", "term"))
+    each = rows.select(*at, "words", F.posexplode_outer("words").alias("pos", "term"))
     first = F.when(F.col("term").eqNullSafe(F.get("words", F.col("pos") - 1)), 0).otherwise(1)
-    words = each.filter("term <> ''").select("lang", "source", "term", first.alias("first"))
-    return words.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs"))
+    return each.filter("term <> ''").select(*at, "term", first.alias("first"))
+
+
+def block_counts(docs: DataFrame, groups: DataFrame, width: int, few: bool) -> DataFrame:
+    """lang, block, term, n (occurrences), n_docs (documents with it) and held (occurrences in each source of the block), of all terms that occur.
+
+    docs has lang, source and text; groups has the block and slot of each lang and source.
+    """
+    if few:
+        words = with_words(docs.join(F.broadcast(groups), ["lang", "source"]).select("lang", "block", "slot", "text"), "text")
+        n, n_docs, there = F.count("*"), F.sum("first"), lambda here: F.count(F.when(here, 1))
+    else:
+        words = with_words(docs, "text").groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs"))
+        words = with_groups(words, groups, ["lang", "source"], "term", few)
+        n, n_docs, there = F.sum("n"), F.sum("n_docs"), lambda here: F.sum(F.when(here, F.col("n")).otherwise(0))
+    sums = words.groupBy("lang", "block", "term").agg(n.alias("n"), n_docs.alias("n_docs"), *(there(F.col("slot") == k).alias(f"slot{k}") for k in range(width)))
+    return sums.select("lang", "block", "term", "n", "n_docs", F.array(*(f"slot{k}" for k in range(width))).alias("held"))
+
+
+#: 1 + floor(SHARES * (n + 1) / (total + V)); where the product may pass 64 bits, in decimals.
+WIDE = f"(cast({SHARES} as decimal(10,0)) * cast({{n}} + 1 as decimal(20,0))) div ({{total}} + n_kept)"
+SHARE = f"cast(1 + if({{n}} < {SHARES}, ({SHARES}L * ({{n}} + 1)) div ({{total}} + n_kept), {WIDE}) as long)"
 
 
 def share(n: str, total: str) -> Column:
-    """1 + floor(SHARES * (n + 1) / (total + V)); where the product may pass 64 bits, in decimals."""
-    wide = f"(cast({SHARES} as decimal(10,0)) * cast({n} + 1 as decimal(20,0))) div ({total} + n_kept)"
-    return F.expr(f"1 + if({n} < {SHARES}, ({SHARES}L * ({n} + 1)) div ({total} + n_kept), {wide})").cast("long")
+    return F.expr(SHARE.format(n=n, total=total))
 
 
 def excess(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def dense_counts(counts: DataFrame, groups: DataFrame, least_docs: int, few: bool) -> DataFrame:
-    """lang, source, term, n, n_lang: every source of a language with every term that the language keeps. Stored, as sums and shares both read it."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("d")).filter(F.col("d") >= least_docs).drop("d")
-    crossed = with_groups(kept, groups, ["lang"], "term", few)
-    # One row a key on the right, and keys are spread evenly: a hash join spares the sort of both sides.
-    dense = crossed.join(counts.drop("n_docs").hint("shuffle_hash"), ["lang", "source", "term"], "left")
-    return stored(dense.select("lang", "source", "term", F.coalesce("n", F.lit(0)).alias("n"), "n_lang"), "divergence-dense")
+def dense_counts(counts: DataFrame, groups: DataFrame, least_docs: int, width: int, one_block: bool, few: bool) -> DataFrame:
+    """lang, block, term, held, n_lang: every block of a language with every term that the language keeps. Stored, as sums and shares both read it."""
+    if one_block:  # each term has all its counts in one row
+        dense = counts.filter(F.col("n_docs") >= least_docs).withColumnRenamed("n", "n_lang")
+    else:
+        counts = stored(counts, "divergence-counts")
+        kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("d")).filter(F.col("d") >= least_docs).drop("d")
+        crossed = with_groups(kept, groups.select("lang", "block").distinct(), ["lang"], "term", few)
+        # One row a key on the right, and keys are spread evenly: a hash join spares the sort of both sides.
+        dense = crossed.join(counts.drop("n", "n_docs").hint("shuffle_hash"), ["lang", "block", "term"], "left")
+    none = F.array_repeat(F.lit(0).cast("long"), width)
+    return stored(dense.select("lang", "block", "term", F.coalesce("held", none).alias("held"), "n_lang"), "divergence-dense")
+
+
+def shares(dense: DataFrame, width: int, few: bool) -> DataFrame:
+    """lang, block, term, held, p (the shares of the block's sources) and q (the language's) of each row of dense."""
+    total = F.array(*(F.sum(F.col("held")[k]) for k in range(width)))
+    totals = dense.groupBy("lang", "block").agg(total.alias("totals"), F.sum("n_lang").alias("total_lang"), F.count("*").alias("n_kept"))
+    totals = stored(totals, "divergence-totals")
+    p = F.expr(f"zip_with(held, totals, (n, total) -> {SHARE.format(n='n', total='total')})")
+    return with_groups(dense, totals, ["lang", "block"], "term", few).select("lang", "block", "term", "held", p.alias("p"), share("n_lang", "total_lang").alias("q"))
 
 
-def shares(dense: DataFrame, few: bool) -> DataFrame:
-    """lang, source, term, n, p (the source's share) and q (the language's) of each row of dense."""
-    totals = dense.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("n_lang").alias("total_lang"), F.count("*").alias("n_kept"))
-    totals = stored(totals, "divergence-totals")
-    return with_groups(dense, totals, ["lang", "source"], "term", few).select("lang", "source", "term", "n", share("n", "total").alias("p"), share("n_lang", "total_lang").alias("q"))
+def least_steps(more: DataFrame, most_rank: int) -> DataFrame:
+    """lang, block, slot, least: the highest step of values such that most_rank terms of the source, or all, are on it or above it."""
+    steps = more.groupBy("lang", "block", "slot", "step").agg(F.count("*").alias("terms"))
+    above = F.coalesce(F.sum("terms").over(Window.partitionBy("lang", "block", "slot").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return steps.withColumn("above", above).filter(F.col("above") < most_rank).groupBy("lang", "block", "slot").agg(F.min("step").alias("least"))
 
 
 def audit(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, most_rank: int = MOST_RANK,
-    few_groups: int = FEW_GROUPS,
+    few_groups: int = FEW_GROUPS, block: int = BLOCK,
 ) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources of a language, and the terms that a source uses more than its language."""
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    counts = stored(group_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    groups, seen = counted(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source")).distinct(), "divergence-groups", n=F.count(F.lit(1)), size=F.sum(F.octet_length("lang") + F.octet_length("source")))
+    docs = docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), given(text_col).alias("text"))
+    groups = docs.select("lang", "source").distinct().withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+    groups, seen = counted(groups, "divergence-groups", n=F.count(F.lit(1)), size=F.sum(F.octet_length("lang") + F.octet_length("source")), most=F.max("no"))
     few = seen["n"] <= few_groups and (seen["size"] or 0) <= FEW_BYTES
+    most = (seen["most"] or 0) + 1
+    width = min(block, most)
+    groups = groups.select("lang", "source", F.expr(f"cast(no div {width} as int)").alias("block"), F.expr(f"no % {width}").alias("slot"))
+    counts = block_counts(docs, groups, width, few)
     # Stored once more, so that both sides of the self-join are one exchange.
-    found = stored(shares(dense_counts(counts, groups, least_docs, few), few), "divergence-shares")
+    found = stored(shares(dense_counts(counts, groups, least_docs, width, most <= width, few), width, few), "divergence-shares")
 
-    # Two sources meet once and give the pair's value both ways.
-    one, other = found.select("lang", "term", "source", "p"), found.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
+    # Two blocks meet once, and in them two sources, and give the pair's value both ways.
+    one, other = found.select("lang", "term", "block", "p"), found.select("lang", "term", F.col("block").alias("item_block"), F.col("p").alias("q"))
+    blocks = one.join(other.hint("shuffle_hash"), ["lang", "term"]).filter("block <= item_block").select("lang", "block", "item_block", "q", F.posexplode("p").alias("slot", "p"))
+    met = blocks.select("lang", "block", "item_block", "slot", "p", F.posexplode("q").alias("item_slot", "q")).filter("block < item_block or slot < item_slot")
     p, q = F.col("p"), F.col("q")
-    both = one.join(other.hint("shuffle_hash"), ["lang", "term"]).filter("source < item").groupBy("lang", "source", "item").agg(F.sum(excess(p, q)).alias("to"), F.sum(excess(q, p)).alias("back"))
-    ways = F.array(F.struct("source", "item", F.col("to").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    both = met.groupBy("lang", "block", "slot", "item_block", "item_slot").agg(F.sum(excess(p, q)).alias("to"), F.sum(excess(q, p)).alias("back"))
+    way = lambda *names: F.struct(*(F.col(c).alias(k) for c, k in zip(names, ("block", "slot", "item_block", "item_slot", "value"), strict=True)))
+    ways = F.array(way("block", "slot", "item_block", "item_slot", "to"), way("item_block", "item_slot", "block", "slot", "back"))
     sums = both.select("lang", F.inline(ways))
-    pairs = with_groups(groups, groups.withColumnRenamed("source", "item"), ["lang"], "source", few).filter("source <> item")
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-
-    more = found.filter("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), excess(F.col("p"), F.col("q")).alias("value"), dealt("term"))
+    items = groups.select("lang", F.col("source").alias("item"), F.col("block").alias("item_block"), F.col("slot").alias("item_slot"))
+    pairs = with_groups(groups, items, ["lang"], "source", few).filter("source <> item")
+    pairs = pairs.join(sums, ["lang", "block", "slot", "item_block", "item_slot"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+    each = found.select("lang", "block", "term", "q", "p", F.posexplode("held").alias("slot", "n")).filter("n > 0").withColumn("p", F.get("p", F.col("slot")))
+    more = each.filter("p > q").select("lang", "block", "slot", F.col("term").alias("item"), excess(p, q).alias("value"))
+    more = more.withColumn("step", F.floor(F.log2(F.col("value") + 1) * 8))
+    marks = groups.join(stored(least_steps(more, most_rank), "divergence-least"), ["lang", "block", "slot"])
+    more = with_groups(more, marks, ["lang", "block", "slot"], "item", few).filter("step >= least").select("lang", "source", "item", "value", dealt("item"))
     order = [F.desc("value"), F.asc("item")]
     within = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(*order))
     heads = more.withColumn("rank", within).filter(F.col("rank") <= most_rank).drop("rank", "part")
