@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Block keywords in the order in which faults are listed, and the suffixes that VAR may carry.
 BLOCKS = ("PROGRAM", "FUNCTION_BLOCK", "VAR", "IF", "CASE", "FOR", "WHILE")
 VAR_SUFFIXES = ("_INPUT", "_OUTPUT", "_IN_OUT", "_GLOBAL", "_TEMP")
+BLOCK_WORDS = rf"(?=[{''.join(sorted({b[0] for b in BLOCKS} | {'E'}))}])\b(?:END_)?(?:{'|'.join(BLOCKS)}|VAR(?:{'|'.join(VAR_SUFFIXES)}))\b"
 # Seconds in a unit of time.
 UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0}
 # A fence's info string, the operators of branching time, how operators of formulas are spelt, and what a cut trace ends in.
@@ -41,15 +42,19 @@ def program_of(reply: Column) -> Column:
 
 
 def block_faults(code: Column) -> Column:
-    """What is opened more or less often than closed, comments aside, as ``unbalanced IF/END_IF: 2 vs 1``, joined by ``; ``."""
-    plain = F.upper(without_comments(code))
+    """What is opened more or less often than closed, comments aside, as ``unbalanced IF/END_IF: 2 vs 1``, joined by ``; ``.
 
-    def fault(name: str) -> Column:
-        suffix = f"(?:{'|'.join(VAR_SUFFIXES)})?" if name == "VAR" else ""
-        opened, closed = F.regexp_count(plain, F.lit(rf"\b{name}{suffix}\b")), F.regexp_count(plain, F.lit(rf"\bEND_{name}\b"))
+    The text is passed over once for the words of all blocks, whose list is then counted.
+    """
+    words = F.regexp_extract_all(F.upper(without_comments(code)), F.lit(BLOCK_WORDS), F.lit(0))
+
+    def fault(words: Column, name: str) -> Column:
+        opening = [name + suffix for suffix in ("", *(VAR_SUFFIXES if name == "VAR" else ()))]
+        opened, closed = F.size(F.filter(words, lambda w: w.isin(opening))), F.size(F.filter(words, lambda w: w == f"END_{name}"))
         return F.when(opened != closed, F.concat(F.lit(f"unbalanced {name}/END_{name}: "), opened, F.lit(" vs "), closed))
 
-    return F.when(code.isNotNull(), F.array_join(F.array_compact(F.array(*map(fault, BLOCKS))), "; "))
+    faults = F.transform(F.array(words), lambda w: F.array_join(F.array_compact(F.array(*(fault(w, name) for name in BLOCKS))), "; "))
+    return F.when(code.isNotNull(), F.get(faults, 0))
 
 
 def balanced(code: Column) -> Column:

@@ -254,7 +254,7 @@ def report_idle(spark, sf_dir):
 
 def report_mutants(spark, sf_dir):
     """Mutants of the parts' programs by rule and over all: what two checks kill, and what only one or none does. The kills are stand-ins: digits of a mutant's digest."""
-    rows = mutation.mutants(programs.parts(spark, sf_dir).select("id", "code"))
+    rows = mutation.mutants(programs.parts(spark, sf_dir, dealt=True).select("id", "code"))
     digest = F.md5(F.col("mutant").cast("binary"))
     scored = rows.select("rule", X.balanced(F.col("mutant")).alias("compiles"), (F.substring(digest, 1, 1) < "a").alias("kills_a"), (F.substring(digest, 2, 1) < "8").alias("kills_b"))
     return mutation.verdicts(scored, "rule").withColumn("rule", F.coalesce("rule", F.lit("all")))
